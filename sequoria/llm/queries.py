@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import repetition
+from sequoria.llm import contamination, repetition
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,17 +16,23 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents, pages, benchmark = _table("documents"), _table("pages"), _table("benchmark")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": contamination.SQL,
         "op5_quality_rules": repetition.SQL,
     }
