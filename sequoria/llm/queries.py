@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, repetition
+from sequoria.llm import contamination, personal_data, repetition, secret_scan
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,14 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
 documents, pages, benchmark = _table("documents"), _table("pages"), _table("benchmark")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_report(documents(spark, sf_dir))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
@@ -26,6 +34,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op3_personal_data": op3_personal_data,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
     }
