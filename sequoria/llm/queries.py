@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, personal_data, repetition, secret_scan
+from sequoria.llm import contamination, page_template, personal_data, repetition, secret_scan
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extract_articles(pages(spark, sf_dir))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_report(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_html_extraction": op2_html_extraction,
         "op3_personal_data": op3_personal_data,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
