@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, page_template, personal_data, repetition, sampled_pieces, secret_scan
+from sequoria.llm import contamination, fuzzy_lines, page_template, personal_data, repetition, sampled_pieces, secret_scan
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,6 +36,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(documents(spark, sf_dir))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(documents(spark, sf_dir))
+
+
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.encode_documents(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": op3_personal_data,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_sampled_pieces": op8_sampled_pieces,
     }
 
