@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, fuzzy_lines, page_template, personal_data, repetition, sampled_pieces, secret_scan
+from sequoria.llm import contamination, fuzzy_lines, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -44,6 +44,10 @@ def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces.encode_documents(documents(spark, sf_dir))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeat_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_sampled_pieces": op8_sampled_pieces,
+        "op9_recompression": op9_recompression,
     }
 
 
@@ -60,4 +65,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": contamination.SQL,
         "op5_quality_rules": repetition.SQL,
+        "op9_recompression": recompression.SQL,
     }
