@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, fuzzy_lines, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan
+from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -36,6 +36,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(documents(spark, sf_dir))
+
+
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_report(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": op3_personal_data,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_sampled_pieces": op8_sampled_pieces,
         "op9_recompression": op9_recompression,
@@ -65,5 +70,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": contamination.SQL,
         "op5_quality_rules": repetition.SQL,
+        "op6_jaccard_join": jaccard_join.SQL,
         "op9_recompression": recompression.SQL,
     }
