@@ -26,7 +26,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, and a stand-in for itself in a text.
 SPACE, LITERAL_SPACE = 0x2581, 0x110000
 _UNIT = re.compile(" *[^ \n▁]+| +|[\n▁]")
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Log weight of a byte where a character is no piece.
 BYTE_PENALTY = -14.0
 
@@ -134,8 +134,8 @@ class Sampler:
     def filtered(self, chars: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """Edges by their end state with the running sum of their probabilities given that state, and the first edge of every state."""
         source, target, piece, depth = self.lattice(chars, begin, end)
-        # an edge has its target and length for itself, so the order is the same in any chunk
-        exact = target << 5 | (target - source)
+        # an edge has its target and length for itself, so the order is the same in any chunk; long pieces, mostly the likely ones, come first
+        exact = target << 5 | (31 - (target - source))
         order = np.argsort(depth << 40 | exact) if depth.max() < 1 << 22 and len(chars) < 1 << 34 else np.lexsort((exact, depth))
         source, target, piece, depth, exact = source[order], target[order], piece[order], depth[order], exact[order]
         weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], BYTE_PENALTY * _utf8_length(-1 - piece))
@@ -173,7 +173,12 @@ class Sampler:
             lo, hi = first[state[act]], first[state[act] + 1]
             draw = (g.mix(keys[act] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64), 7) >> np.uint64(11)) * 2.0**-53
             base = np.where(lo > 0, running[lo - 1], 0.0)
-            edge = np.clip(np.searchsorted(running, base + draw, side="right"), lo, hi - 1)
+            draw += base
+            edge = lo.copy()
+            later = np.flatnonzero((hi - lo > 1) & (running[lo] <= draw))
+            while len(later):
+                edge[later] += 1
+                later = later[(edge[later] < hi[later] - 1) & (running[edge[later]] <= draw[later])]
             drawn.append((act, edge))
             count[act] += out_size[edge]
             state[act] = source[edge]
