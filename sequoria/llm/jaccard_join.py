@@ -1,7 +1,7 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-Under any global order two sets of Jaccard similarity 0.9 share a token among the first
-tenth of each. Every order here is rare-first by one sketch of the corpus, and by another
+Under any global order two sets of Jaccard similarity 0.8 share a token among the first
+fifth of each. Every order here is rare-first by one sketch of the corpus, and by another
 hash among tokens of one frequency class. Buckets come from the first order; a candidate
 pair must share prefix tokens under the other orders too before its texts are compared.
 """
@@ -21,9 +21,8 @@ from pyspark.sql.window import Window
 from sequoria.llm import textgrid as g
 from sequoria.llm.shared import components, written
 
-SHINGLE = 3
-#: Links have 100 * intersection >= LEAST * union.
-LEAST = 90
+#: Words in a shingle; links have 100 * intersection >= LEAST * union.
+SHINGLE, LEAST = 5, 80
 #: Orders besides the one that makes the buckets.
 MORE_ORDERS = 2
 #: Counters of the frequency sketch: a fixed size, so what is broadcast does not grow with the corpus.
@@ -35,7 +34,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of text after text, ascending in each; first of each text and the total)."""
     data = _LOWER[data]
     begin, end, per_text = g.runs_of(g.WORD_BYTE[data], offsets)
@@ -44,8 +43,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     sets, sizes = [], [0]
     for a, b in zip(per_text.tolist(), per_text[1:].tolist()):
         if b > a:
-            at = np.arange(a, max(a + 1, b - SHINGLE + 1))
-            sets.append(np.unique(g.mix(g.span_hash(prefix, at, np.minimum(at + SHINGLE, b)), 71)))
+            at = np.arange(a, max(a + 1, b - size + 1))
+            sets.append(np.unique(g.mix(g.span_hash(prefix, at, np.minimum(at + size, b)), 71)))
         sizes.append(len(sets[-1]) if b > a else 0)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
@@ -54,7 +53,7 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
     return (g.mix(tokens, 72) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
     """A row for each document (n, s1, s2: its set's size and two hashes), and rows with the task's part of the sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -62,7 +61,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         counts, names = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), ["doc_id", "n", "s1", "s2", "part", "salt", "counts"]
         for batch in batches:
             for chunk in g.chunks(batch):
-                tokens, at = shingle_sets(*g.texts_of(chunk.column("text")))
+                tokens, at = shingle_sets(*g.texts_of(chunk.column("text")), size)
                 counts += np.bincount(_slots(tokens), minlength=len(counts)).astype(np.uint32)
                 sums = []
                 for seed in (73, 74):
@@ -100,11 +99,11 @@ def _frequency_classes(profiles: DataFrame) -> np.ndarray:
     return np.clip(2 * np.log2(np.maximum(counts.ravel() / (counts.mean() + 1), 1)), 0, 127).astype(np.uint8)
 
 
-def prefix_length(n: np.ndarray | int):
-    return n - (LEAST * n + 99) // 100 + 1
+def prefix_length(n: np.ndarray | int, least: int):
+    return n - (least * n + 99) // 100 + 1
 
 
-def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, classes: np.ndarray, size: int, least: int) -> DataFrame:
     """(doc_id, n, prefix array<long>, more array<array<int>>): prefix tokens under every order; documents without words are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(classes)
@@ -112,14 +111,14 @@ def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in g.chunks(batch):
-                tokens, at = shingle_sets(*g.texts_of(chunk.column("text")))
+                tokens, at = shingle_sets(*g.texts_of(chunk.column("text")), size)
                 rank = shared.value[_slots(tokens)].astype(np.uint64) << np.uint64(56)
                 orders = [rank | (g.mix(tokens, 80 + k) >> np.uint64(8)) for k in range(1 + MORE_ORDERS)]
                 full = np.flatnonzero(np.diff(at) > 0)
                 first, more = [], [[] for _ in range(MORE_ORDERS)]
                 for i in full.tolist():
                     a, b = at[i], at[i + 1]
-                    p = prefix_length(int(b - a))
+                    p = prefix_length(int(b - a), least)
                     for k, order in enumerate(orders):
                         x = tokens[a:b][np.argpartition(order[a:b], p - 1)[:p]] if p < b - a else tokens[a:b]
                         (more[k - 1] if k else first).append(x if not k else (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
@@ -129,12 +128,12 @@ def _prefixes(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, prefix array<long>, {', '.join(f'more{k} array<int>' for k in range(MORE_ORDERS))}")
 
 
-def _band(n: Column) -> Column:
+def _band(n: Column, least: int) -> Column:
     """Sets of linked documents differ by one band at most."""
-    return F.floor(F.log(n.cast("double")) / -np.log(LEAST / 100) + 1e-9).cast("int")
+    return F.floor(F.log(n.cast("double")) / -np.log(least / 100) + 1e-9).cast("int") if least < 100 else n.cast("int")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, size: int, least: int) -> DataFrame:
     """The pairs (a, b) that are links: filters of the other orders first, then both texts."""
     more = [f"more{k}" for k in range(MORE_ORDERS)]
     side = lambda x: prefixes.select(F.col("doc_id").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in more))
@@ -152,7 +151,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame) -> DataFrame
             for chunk in g.chunks(batch, "text_a"):
                 sides = []
                 for c in ("text_a", "text_b"):
-                    tokens, at = shingle_sets(*g.texts_of(chunk.column(c)))
+                    tokens, at = shingle_sets(*g.texts_of(chunk.column(c)), size)
                     pair = np.repeat(np.arange(chunk.num_rows), np.diff(at))
                     sides.append((g.mix(tokens ^ g.mix(pair.astype(np.uint64), 90), 91), pair, np.diff(at)))
                 (x, of, n), (y, _, m) = sides
@@ -160,14 +159,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame) -> DataFrame
                 y = y[order]
                 hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
                 both_n = np.bincount(of[hit], minlength=chunk.num_rows)
-                yield chunk.select(["a", "b"]).filter(pa.array(100 * both_n >= LEAST * (n + m - both_n)))
+                yield chunk.select(["a", "b"]).filter(pa.array(100 * both_n >= least * (n + m - both_n)))
 
     return both.mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
+    ``size`` words make a shingle, ``least`` is the least similarity of a link in per cent.
+
     Documents of equal sets are one class, found by their sets' hashes; links between
     classes are found as the module says, and only where they can join two components.
     component_id is the smallest doc_id that links reach. Null and empty texts have no
@@ -176,14 +177,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     component. Other columns are left out.
     """
     docs = docs.select("doc_id", "text")
-    profiles = written(_profiles(docs))
+    profiles = written(_profiles(docs, size))
     sets = profiles.filter("part IS NULL").select("doc_id", "n", "s1", "s2")
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = written(_prefixes(docs.filter("doc_id IS NOT NULL"), _frequency_classes(profiles)).join(reps, "doc_id", "left_semi"))
+    prefixes = written(_prefixes(docs.filter("doc_id IS NOT NULL"), _frequency_classes(profiles), size, least).join(reps, "doc_id", "left_semi"))
     tokens = prefixes.select("doc_id", "n", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("token")
-    bands = tokens.join(common, "token", "left_semi").select("doc_id", "n", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)).alias("band"), "token")
+    bands = tokens.join(common, "token", "left_semi").select("doc_id", "n", F.explode(F.array(_band(F.col("n"), least), _band(F.col("n"), least) + 1)).alias("band"), "token")
     keyed = bands.select("doc_id", "n", F.xxhash64("token", "band").alias("key"))
     full = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     buckets = written(keyed.join(full, "key", "left_semi"))
@@ -192,23 +193,23 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         rooted = buckets.withColumn("root", F.col("doc_id")) if roots is None else buckets.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         w = Window.partitionBy("key")
         mixed = rooted.select("key", "doc_id", "n", "root", F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).filter("r0 < r1")
-        fits = lambda x, y: 100 * F.least(x, y) >= LEAST * F.greatest(x, y)
+        fits = lambda x, y: 100 * F.least(x, y) >= least * F.greatest(x, y)
         if k < STAR_ROUNDS:
             centre = F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("root", "doc_id", F.lit(k))).over(w)
             pairs = mixed.withColumn("c", centre).filter("root <> c.root").filter(fits(F.col("n"), F.col("c.n"))).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
         else:
             other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
             pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col("n"), F.col("n_b"))).select("a", "b")
-        found = written(_linked(pairs.distinct(), docs, prefixes))
+        found = written(_linked(pairs.distinct(), docs, prefixes, size, least))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     by_class = sets.join(classes, ["n", "s1", "s2"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return by_class.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's smallest, with all columns; rows with a null doc_id stay."""
-    gone = similar_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = similar_groups(docs, size, least).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

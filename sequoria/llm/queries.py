@@ -37,7 +37,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_groups(documents(spark, sf_dir))
+    return jaccard_join.similar_groups(documents(spark, sf_dir), size=3, least=90)
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
