@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan
+from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan, suffix_dedup
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -52,6 +52,10 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeat_report(documents(spark, sf_dir))
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_sampled_pieces": op8_sampled_pieces,
         "op9_recompression": op9_recompression,
+        "op10_suffix_arrays": op10_suffix_arrays,
     }
 
 
@@ -72,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": repetition.SQL,
         "op6_jaccard_join": jaccard_join.SQL,
         "op9_recompression": recompression.SQL,
+        "op10_suffix_arrays": suffix_dedup.SQL,
     }

@@ -160,6 +160,10 @@ def _starts(parsed: Parsed, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n) + parsed.first[group]
 
 
+def _hash_names(size: int, parsed: Parsed, group: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    return dict(zip(("w1", "w2"), _window_hashes(parsed, at, size)))
+
+
 def _windows(batches, parse, size):
     """(doc_id, w1, w2) of the windows of the groups to expand."""
     for part, parsed, _, _ in _chunks(batches, parse):
@@ -171,15 +175,20 @@ def _windows(batches, parse, size):
         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(parsed.text[group[rows]])), _signed(w1[rows]), _signed(w2[rows])], ["doc_id", "w1", "w2"])
 
 
-def removed_units(part: pa.RecordBatch, parsed: Parsed, size: int) -> np.ndarray:
-    """For each unit of a chunk whether it goes; the chunk has the lists cover, expand and windows."""
+def removed_units(part: pa.RecordBatch, parsed: Parsed, size: int, names: Callable[..., dict[str, np.ndarray]] | None = None) -> np.ndarray:
+    """For each unit of a chunk whether it goes; the chunk has the lists cover, expand and windows.
+
+    ``names``: what ``windows`` calls the windows at units ``at`` of groups ``group``.
+    """
     every = np.arange(len(parsed.text))
     starts = _starts(parsed, np.flatnonzero(_listed(part, parsed, "cover", every, parsed.content)))[1]
     group, at = _starts(parsed, np.flatnonzero(_listed(part, parsed, "expand", every, parsed.content)))
     if len(at):
-        w1, w2 = _window_hashes(parsed, at, size)
-        key = g.mix(g.mix(g.mix(parsed.text[group].astype(np.uint64), 15) ^ w1, 16) ^ w2, 16)
-        starts = np.concatenate([starts, at[_member(_pairs_of(part, "windows", ("w1", "w2")), key)]])
+        named = (names or partial(_hash_names, size))(parsed, group, at)
+        key = g.mix(parsed.text[group].astype(np.uint64), 15)
+        for x in named.values():
+            key = g.mix(key ^ x, 16)
+        starts = np.concatenate([starts, at[_member(_pairs_of(part, "windows", tuple(named)), key)]])
     return g.covered(starts, size, len(parsed.values))
 
 
@@ -187,13 +196,21 @@ def _typed(docs: DataFrame, rest: str) -> str:
     return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {rest}"
 
 
-def with_instructions(docs: DataFrame, parse: Parser, size: int, prefilter: bool) -> DataFrame:
-    """``docs`` (doc_id, text) with the lists ``cover``, ``expand`` (symbol, content) and ``windows`` (w1, w2).
+def _by_window_hashes(wanted: DataFrame, parse: Parser, size: int) -> DataFrame:
+    """(doc_id, windows): hashes of the windows of the groups to look at that a smaller document has too."""
+    windows = written(wanted.mapInArrow(partial(_windows, parse=parse, size=size), _typed(wanted, "w1 long, w2 long")))
+    again = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w1", "w2", "least")
+    return windows.join(again, ["w1", "w2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("w1", "w2")).alias("windows"))
+
 
+def with_instructions(docs: DataFrame, parse: Parser, size: int, prefilter: bool, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text) with the lists ``cover``, ``expand`` (symbol, content) and ``windows``.
+
+    ``judge`` makes (doc_id, windows) of (doc_id, text, expand); by default from window hashes.
     With ``prefilter`` symbols that only one document has are sorted out by themselves
     before groups are compared, which pays where symbols are many.
     """
-    source = docs.filter("doc_id IS NOT NULL AND length(text) >= 50")
+    source = docs.filter("doc_id IS NOT NULL AND octet_length(text) >= 50")
     if prefilter:
         named = source.mapInArrow(partial(_symbols, parse=parse), _typed(docs, "symbol long"))
         common = named.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("symbol")
@@ -210,7 +227,5 @@ def with_instructions(docs: DataFrame, parse: Parser, size: int, prefilter: bool
     pair = F.struct("symbol", "content")
     lists = written(told.groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") > F.col("least"), pair)).alias("cover"), F.collect_list(F.when(F.col("doc_id") == F.col("least"), pair)).alias("expand")))
     wanted = source.select("doc_id", "text").join(lists.filter(F.size("expand") > 0).select("doc_id", "expand"), "doc_id")
-    windows = written(wanted.mapInArrow(partial(_windows, parse=parse, size=size), _typed(docs, "w1 long, w2 long")))
-    again = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w1", "w2", "least")
-    later = windows.join(again, ["w1", "w2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("w1", "w2")).alias("windows"))
+    later = (judge or partial(_by_window_hashes, parse=parse, size=size))(wanted)
     return docs.select("doc_id", "text").join(lists.join(later, "doc_id", "left"), "doc_id", "left")
