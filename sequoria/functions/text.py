@@ -92,8 +92,8 @@ def clean_artist(artist: Column) -> Column:
 
 
 def song_key(artist: Column, title: Column) -> Column:
-    """"artist|title", both cleaned."""
-    return F.concat_ws("|", clean_artist(artist), clean_title(title))
+    """"artist|title", both cleaned; a missing name counts as empty."""
+    return F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in (clean_artist(artist), clean_title(title))))
 
 
 def with_song_keys(plays: DataFrame, artist: str = "artist", title: str = "title") -> DataFrame:
