@@ -52,7 +52,8 @@ def grouped(offsets: np.ndarray, values: np.ndarray, size: int, symbol: np.ndarr
     """Groups from symbols whose content and context lie in units begin..end (both never falling).
 
     The anchor of a window is the symbol of least rank, the leftmost of equal ones, with
-    its context inside the window. A window without one is its own anchor.
+    its context inside the window. It is told by that context, which fewer texts share by
+    chance than the symbol. A window without one is its own anchor.
     """
     counts = np.maximum(np.diff(offsets) - size + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -84,7 +85,9 @@ def grouped(offsets: np.ndarray, values: np.ndarray, size: int, symbol: np.ndarr
     last_at = np.concatenate([first_at[1:], [len(at)]]) - 1
     first, last, own = at[first_at], at[last_at], anchor[first_at]
     content = g.mix(g.span_hash(prefix, first, last + size), 12)
-    names = np.where(own >= 0, g.mix(symbol[np.maximum(own, 0)], 13) if len(symbol) else content, g.mix(content, 14))
+    names = g.mix(content, 14)
+    has = np.flatnonzero(own >= 0)
+    names[has] = g.mix(g.span_hash(prefix, begin[own[has]], end[own[has]]), 13)
     return Parsed(offsets, values, text[first_at], first, last, names, content)
 
 
