@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,24 +21,26 @@ VERSION_WORDS = (
 )
 VERSION_NOTE = rf"(?Ui)\s+-\s+(?:[^-]*\s)?(?:{VERSION_WORDS})(?:\s[^-]*)?$|\s*[\(\[](?:[^\)\]]*\s)?(?:{VERSION_WORDS})(?:\s[^\)\]]*)?[\)\]]"
 YEAR_LEFT = r"(?U)\s+-\s+\d{4}$"
+_BEYOND_ASCII = regex.compile(r"[^\x00-\x7F]")
+#: Characters of a combining class.
+_MARKS = regex.compile(r"[^\p{ccc=0}]")
 #: Notes can be stacked; so many layers of them are taken off.
 LAYERS = 4
 
 
+@lru_cache(maxsize=1 << 16)
+def _letter(char: str) -> str:
+    bare = _MARKS.sub("", unicodedata.normalize("NFKD", char))
+    return bare if bare.isascii() else unicodedata.normalize("NFKC", char)
+
+
 def _plain(text: str) -> str:
     """Accents off where a plain ASCII letter is left; other scripts keep their marks."""
-    if text.isascii():
-        return text
-    out = []
-    for c in unicodedata.normalize("NFC", text):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        out.append(base if base.isascii() else unicodedata.normalize("NFKC", c))
-    return "".join(out)
+    return text if text.isascii() else _BEYOND_ASCII.sub(lambda m: _letter(m[0]), unicodedata.normalize("NFC", text))
 
 
 def _folded(text: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", text)
-    return " ".join("".join(c for c in decomposed if not unicodedata.combining(c)).casefold().split())
+    return " ".join(_MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold().split())
 
 
 @F.pandas_udf(StringType())
