@@ -237,3 +237,14 @@ def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
     query.awaitTermination()
     want = {tuple(r) for r in s.session_windows(rows.filter("user < 9"), 1800).collect()}
     assert {tuple(r) for r in spark.table("live_sessions").collect()} == want
+
+
+def test_stream_listeners_keep_a_window_of_state(spark, tmp_path):
+    days = [[(0, "x", 1), (1, "x", 2)], [(5, "x", 1)], [(9, "x", 3), (9, "y", 1)]]
+    for k, rows in enumerate(days):
+        spark.createDataFrame(rows, "day long, key string, user long").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
+    stream = live.stream_of(spark, str(tmp_path / "in" / "*"), "day long, key string, user long")
+    query = live.live_listeners(stream, 5).writeStream.format("memory").queryName("live_listeners").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    got = [(r.key, r.day, r.listeners) for r in spark.table("live_listeners").collect()]
+    assert ("x", 1, 2) in got and ("x", 9, 2) in got and ("y", 9, 1) in got
