@@ -104,7 +104,7 @@ def prefix_length(n: np.ndarray | int, least: int):
 
 
 def _prefixes(docs: DataFrame, classes: np.ndarray, size: int, least: int) -> DataFrame:
-    """(doc_id, n, prefix array<long>, more array<array<int>>): prefix tokens under every order; documents without words are left out."""
+    """(doc_id, n, prefix array<long>, more0, more1 ... array<int>): prefix tokens, in order, under every order; documents without words are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -120,7 +120,7 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, size: int, least: int) -> Da
                     a, b = at[i], at[i + 1]
                     p = prefix_length(int(b - a), least)
                     for k, order in enumerate(orders):
-                        x = tokens[a:b][np.argpartition(order[a:b], p - 1)[:p]] if p < b - a else tokens[a:b]
+                        x = tokens[a:b][np.argsort(order[a:b], kind="stable")[:p]]
                         (more[k - 1] if k else first).append(x if not k else (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 lists = lambda xs, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs) if xs else [], t))
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(full)), pa.array(np.diff(at)[full]), lists([x.view(np.int64) for x in first], pa.int64()), *(lists(x, pa.int32()) for x in more)], ["doc_id", "n", "prefix", *(f"more{k}" for k in range(MORE_ORDERS))])
@@ -133,6 +133,12 @@ def _band(n: Column, least: int) -> Column:
     return F.floor(F.log(n.cast("double")) / -np.log(least / 100) + 1e-9).cast("int") if least < 100 else n.cast("int")
 
 
+def _can_link(n: Column, place: Column, m: Column, other_place: Column, least: int) -> Column:
+    """Whether two sets can be similar if a token at these places of their orders is the first that they share; a link passes at its first shared token."""
+    most = F.least(n - place, m - other_place)
+    return 100 * most >= least * (n + m - most)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, size: int, least: int) -> DataFrame:
     """The pairs (a, b) that are links: filters of the other orders first, then both texts."""
     more = [f"more{k}" for k in range(MORE_ORDERS)]
@@ -182,24 +188,25 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) ->
     classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefixes = written(_prefixes(docs.filter("doc_id IS NOT NULL"), _frequency_classes(profiles), size, least).join(reps, "doc_id", "left_semi"))
-    tokens = prefixes.select("doc_id", "n", F.explode("prefix").alias("token"))
+    tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
     common = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("token")
-    bands = tokens.join(common, "token", "left_semi").select("doc_id", "n", F.explode(F.array(_band(F.col("n"), least), _band(F.col("n"), least) + 1)).alias("band"), "token")
-    keyed = bands.select("doc_id", "n", F.xxhash64("token", "band").alias("key"))
+    bands = tokens.join(common, "token", "left_semi").select("doc_id", "n", "place", F.explode(F.array(_band(F.col("n"), least), _band(F.col("n"), least) + 1)).alias("band"), "token")
+    keyed = bands.select("doc_id", "n", "place", F.xxhash64("token", "band").alias("key"))
     full = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
     buckets = written(keyed.join(full, "key", "left_semi"))
     links = roots = None
     for k in range(STAR_ROUNDS + 1):
         rooted = buckets.withColumn("root", F.col("doc_id")) if roots is None else buckets.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         w = Window.partitionBy("key")
-        mixed = rooted.select("key", "doc_id", "n", "root", F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).filter("r0 < r1")
-        fits = lambda x, y: 100 * F.least(x, y) >= least * F.greatest(x, y)
+        mixed = rooted.select("key", "doc_id", "n", "place", "root", F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).filter("r0 < r1")
+        fits = lambda x, y: _can_link(x("n"), x("place"), y("n"), y("place"), least)
         if k < STAR_ROUNDS:
-            centre = F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("root", "doc_id", F.lit(k))).over(w)
-            pairs = mixed.withColumn("c", centre).filter("root <> c.root").filter(fits(F.col("n"), F.col("c.n"))).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+            # few rare tokens before the shared one: such a document is close to many
+            centre = F.min_by(F.struct("doc_id", "n", "place", "root"), F.struct("place", F.xxhash64("root", "doc_id", F.lit(k)))).over(w)
+            pairs = mixed.withColumn("c", centre).filter("root <> c.root").filter(fits(F.col, lambda x: F.col(f"c.{x}"))).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
         else:
-            other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-            pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col("n"), F.col("n_b"))).select("a", "b")
+            other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"))
+            pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "place", "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col, lambda x: F.col(f"{x}_b"))).select("a", "b")
         found = written(_linked(pairs.distinct(), docs, prefixes, size, least))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
