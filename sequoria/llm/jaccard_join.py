@@ -25,6 +25,8 @@ from sequoria.llm.shared import components, written
 SHINGLE, LEAST = 5, 80
 #: Orders besides the one that makes the buckets.
 MORE_ORDERS = 2
+#: 64-bit words of a set's parity sketch.
+PARITY = 4
 #: Counters of the frequency sketch: a fixed size, so what is broadcast does not grow with the corpus.
 SKETCH_BITS, SKETCH_PART = 20, 14
 #: Rounds in which a bucket's documents are compared with one of them only.
@@ -103,8 +105,22 @@ def prefix_length(n: np.ndarray | int, least: int):
     return n - (least * n + 99) // 100 + 1
 
 
+def _sketch() -> list[str]:
+    return [f"p{w}" for w in range(PARITY)]
+
+
+def parities(tokens: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """PARITY words for each (not empty) set: bit b tells whether the set has an odd number of tokens of bin b.
+
+    Two sets differ in as many tokens at least as their sketches do in bits.
+    """
+    bins = g.mix(tokens, 95) >> np.uint64(64 - 6 - (PARITY - 1).bit_length())
+    bit = np.uint64(1) << (bins & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(bins >> np.uint64(6) == w, bit, np.uint64(0)), at) if len(at) else np.zeros(0, np.uint64) for w in range(PARITY)]
+
+
 def _prefixes(docs: DataFrame, classes: np.ndarray, size: int, least: int) -> DataFrame:
-    """(doc_id, n, prefix array<long>, more0, more1 ... array<int>): prefix tokens, in order, under every order; documents without words are left out."""
+    """(doc_id, n, p0 .. parity sketch, prefix array<long>, more0, more1 ... array<int>): prefix tokens, in order, under every order; documents without words are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -123,9 +139,9 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, size: int, least: int) -> Da
                         x = tokens[a:b][np.argsort(order[a:b], kind="stable")[:p]]
                         (more[k - 1] if k else first).append(x if not k else (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
                 lists = lambda xs, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs) if xs else [], t))
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(full)), pa.array(np.diff(at)[full]), lists([x.view(np.int64) for x in first], pa.int64()), *(lists(x, pa.int32()) for x in more)], ["doc_id", "n", "prefix", *(f"more{k}" for k in range(MORE_ORDERS))])
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id").take(pa.array(full)), pa.array(np.diff(at)[full]), *(pa.array(x.view(np.int64)) for x in parities(tokens, at[:-1][full])), lists([x.view(np.int64) for x in first], pa.int64()), *(lists(x, pa.int32()) for x in more)], ["doc_id", "n", *_sketch(), "prefix", *(f"more{k}" for k in range(MORE_ORDERS))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, prefix array<long>, {', '.join(f'more{k} array<int>' for k in range(MORE_ORDERS))}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, {', '.join(f'{c} long' for c in _sketch())}, prefix array<long>, {', '.join(f'more{k} array<int>' for k in range(MORE_ORDERS))}")
 
 
 def _band(n: Column, least: int) -> Column:
@@ -133,10 +149,16 @@ def _band(n: Column, least: int) -> Column:
     return F.floor(F.log(n.cast("double")) / -np.log(least / 100) + 1e-9).cast("int") if least < 100 else n.cast("int")
 
 
-def _can_link(n: Column, place: Column, m: Column, other_place: Column, least: int) -> Column:
-    """Whether two sets can be similar if a token at these places of their orders is the first that they share; a link passes at its first shared token."""
-    most = F.least(n - place, m - other_place)
-    return 100 * most >= least * (n + m - most)
+def _can_link(x, y, least: int) -> Column:
+    """Whether two sets (functions from a column's name to the column) can be similar.
+
+    If a token at these places of their orders is the first that they share, they share no
+    more than what is behind it; a link passes at its first shared token. And they differ in
+    as many tokens at least as their parity sketches do in bits.
+    """
+    most = F.least(x("n") - x("place"), y("n") - y("place"))
+    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in _sketch()), F.lit(0))
+    return (100 * most >= least * (x("n") + y("n") - most)) & ((100 + least) * differ <= (100 - least) * (x("n") + y("n")))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, size: int, least: int) -> DataFrame:
@@ -193,20 +215,20 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) ->
     bands = tokens.join(common, "token", "left_semi").select("doc_id", "n", "place", F.explode(F.array(_band(F.col("n"), least), _band(F.col("n"), least) + 1)).alias("band"), "token")
     keyed = bands.select("doc_id", "n", "place", F.xxhash64("token", "band").alias("key"))
     full = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("key")
-    buckets = written(keyed.join(full, "key", "left_semi"))
+    buckets = written(keyed.join(full, "key", "left_semi").join(prefixes.select("doc_id", *_sketch()), "doc_id"))
     links = roots = None
     for k in range(STAR_ROUNDS + 1):
         rooted = buckets.withColumn("root", F.col("doc_id")) if roots is None else buckets.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         w = Window.partitionBy("key")
-        mixed = rooted.select("key", "doc_id", "n", "place", "root", F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).filter("r0 < r1")
-        fits = lambda x, y: _can_link(x("n"), x("place"), y("n"), y("place"), least)
+        mixed = rooted.select("key", "doc_id", "n", "place", *_sketch(), "root", F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).filter("r0 < r1")
+        fits = lambda x, y: _can_link(x, y, least)
         if k < STAR_ROUNDS:
             # few rare tokens before the shared one: such a document is close to many
-            centre = F.min_by(F.struct("doc_id", "n", "place", "root"), F.struct("place", F.xxhash64("root", "doc_id", F.lit(k)))).over(w)
+            centre = F.min_by(F.struct("doc_id", "n", "place", *_sketch(), "root"), F.struct("place", F.xxhash64("root", "doc_id", F.lit(k)))).over(w)
             pairs = mixed.withColumn("c", centre).filter("root <> c.root").filter(fits(F.col, lambda x: F.col(f"c.{x}"))).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
         else:
-            other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("root").alias("root_b"))
-            pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "place", "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col, lambda x: F.col(f"{x}_b"))).select("a", "b")
+            other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), *(F.col(c).alias(f"{c}_b") for c in _sketch()), F.col("root").alias("root_b"))
+            pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "place", *_sketch(), "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col, lambda x: F.col(f"{x}_b"))).select("a", "b")
         found = written(_linked(pairs.distinct(), docs, prefixes, size, least))
         links = found if links is None else links.unionByName(found)
         roots = components(links)
