@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequoria.llm.shared import written
+
 # Element names of HTML by role, and words of class, id and role attributes.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -165,8 +167,9 @@ def templates(pages: DataFrame) -> DataFrame:
 
     found = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, schema)
     # the vector of a token: which pages have it how often, folded into one number
-    vectors = found.groupBy("host", "token", "is_text", "path").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars"))
-    counted = found.filter("NOT is_text AND path = ''").groupBy("host").agg(F.count("*").alias("n_pages")).filter("n_pages > 1")
+    vectors = written(found.groupBy("host", "token", "is_text", "path").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")))
+    # every page has the token of the outermost container once
+    counted = vectors.filter("NOT is_text AND path = '' AND pages > 1").select("host", F.col("pages").alias("n_pages"))
     tokens = vectors.join(counted, "host")
     frequent = tokens.filter("2 * pages >= n_pages")
     classes = frequent.groupBy("host", "n_pages", "vector").agg(F.count("*").alias("size"), F.collect_set(F.when(~F.col("is_text"), F.col("path"))).alias("paths")).filter("size > 1")
