@@ -46,6 +46,8 @@ class Parsed:
 
 
 Parser = Callable[[np.ndarray, np.ndarray], Parsed]
+#: Text that is parsed at once, in bytes; a parse takes some hundred times as much memory.
+CHUNK_BYTES = 1 << 18
 
 
 def grouped(offsets: np.ndarray, values: np.ndarray, size: int, symbol: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Parsed:
@@ -101,7 +103,7 @@ def _once(parsed: Parsed, *columns: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], parse: Parser) -> Iterator[tuple[pa.RecordBatch, Parsed, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for part in g.chunks(batch):
+        for part in g.chunks(batch, limit=CHUNK_BYTES):
             data, offsets = g.texts_of(part.column("text"))
             yield part, parse(data, offsets), data, offsets
 

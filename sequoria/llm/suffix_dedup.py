@@ -24,9 +24,9 @@ from sequoria.llm.shared import written
 
 WINDOW = 50
 #: Bytes from an anchor on that its symbol stands for.
-ANCHOR = 16
+ANCHOR = 24
 #: Bytes of slices in a shard. A symbol with more of them is compared by whole windows.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 _NONE = np.uint64(2**64 - 1)
 
 
