@@ -14,9 +14,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Only the head is matched here, so what follows an account number, or looks like one before it, takes nothing from it.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
+#: Countries of the IBAN registry by the length of their account numbers.
+_IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_REST, _END = r"[0-9]{2}(?:\x20?[A-Z0-9]){%d}", "(?![A-Za-z0-9])"
+_LISTED = "^(?:" + "|".join(f"(?:{c.replace(' ', '|')}){_REST % (n - 4)}" for n, c in _IBAN_LENGTHS.items()) + ")" + _END
+_UNLISTED = f"^(?!{'|'.join(_IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}"
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -38,13 +45,25 @@ def is_mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def _whole_ibans(text: Column, heads: Column) -> Column:
+    """Spans of the account numbers whose first four characters are ``heads``: of their country's length, in other countries the longest that passes."""
+
+    def whole(x: Column) -> Column:
+        rest = F.substring(text, x["begin"] + 1, F.lit(68))
+        proposed = F.array(*(F.regexp_extract(rest, p, 0) for p in (_LISTED, *(_UNLISTED + _REST % n + _END for n in range(30, 10, -1)))))
+        value = F.get(F.filter(proposed, lambda v: (v != "") & is_mod97(F.replace(v, F.lit(" "), F.lit("")))), F.lit(0))
+        return F.transform(F.array(value), lambda v: F.struct(x["kind"].alias("kind"), x["rank"].alias("rank"), x["begin"].alias("begin"), (x["begin"] + F.length(v)).alias("end"), v.alias("value")))
+
+    return F.when(F.size(heads) > 0, F.filter(F.flatten(F.transform(heads, whole)), lambda x: x["value"].isNotNull())).otherwise(heads)
+
+
 def _ip_parts(value: Column) -> Column:
     return value.rlike(r"^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$")
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``prior``: score of a confirmed span; ``words``: what raises it when near; ``base``: kept at any score."""
+    """``prior``: score of a confirmed span; ``words``: what raises it when near; ``base``: kept at any score; ``whole``: makes spans of heads."""
 
     name: str
     pattern: str
@@ -52,6 +71,7 @@ class Kind:
     prior: float
     words: str
     base: bool = True
+    whole: object = None
 
 
 KINDS = (
@@ -59,7 +79,7 @@ KINDS = (
     Kind("ip", IP, _ip_parts, 0.6, "ip|host|server|address|login"),
     Kind("card", CARD, lambda v: F.length(digits(v)).between(12, 19) & is_luhn(digits(v)), 0.7, "card|visa|credit|amex|payment|karte|carte|tarjeta"),
     Kind("phone", PHONE, lambda v: F.length(digits(v)).between(9, 15), 0.6, "phone|tel|call|mobile|fax|anruf"),
-    Kind("iban", IBAN, lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & is_mod97(F.replace(v, F.lit(" "), F.lit(""))), 0.8, "iban|account|bank|konto|cuenta|compte", False),
+    Kind("iban", IBAN, lambda v: F.lit(True), 0.8, "iban|account|bank|konto|cuenta|compte", False, _whole_ibans),
     Kind("ssn", SSN, lambda v: ~v.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social security|sozialversicherung", False),
 )
 #: Code points before a span in which words count, what they add, and the least score of an added span.
@@ -84,6 +104,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             out = F.when(x["kind"] == k.name, k.prior + F.when(before.rlike(f"(^|[^a-z])({k.words})"), CONTEXT_GAIN).otherwise(0.0)).otherwise(out)
         return F.least(out, F.lit(1.0))
 
+    spans = spans.withColumns({k.name: k.whole(F.col("text"), F.col(k.name)) for k in KINDS if k.whole})
     names = lambda base: [k.name for k in KINDS if k.base == base]
     scored = spans.select("doc_id", "text", F.concat(*names(True)).alias("base"), F.concat(*names(False)).alias("other"))
     scored = scored.select("doc_id", "text", "base", F.when(F.size("other") > 0, F.filter("other", lambda x: score(x) >= LEAST_SCORE)).otherwise(F.col("other")).alias("added"))

@@ -65,6 +65,14 @@ def test_checksums_and_context(spark):
     assert got[0].startswith("iban:5:") and "iban" not in got[1] and "ssn:7:18" in got[2] and "ssn" not in got[3]
 
 
+def test_account_numbers_before_other_words(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"
+    texts = [f"IBAN {de} BIC COBADEFFXXX", f"{gb} The bank", f"{de.replace(' ', '')} 2026-01-02", f"{fr} {de} {gb} A", f"AT12 {de} 12", f"XY12 AB34 {gb} X", f"{de}1", f"{de} DE88 3704 0044 0532 0130 00"]
+    got = {r.doc_id: [x for x in r.spans.split(",") if "iban" in x] for r in personal_data.personal_data_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [[f"iban:{t.index(n)}:{t.index(n) + len(n)}" for n in (fr, de, de.replace(" ", ""), gb) if n in t] for t in texts]
+    assert got == {i: [] if i == 6 else f for i, f in enumerate(found)}
+
+
 @pytest.mark.parametrize("scan", [secret_scan.secret_report, personal_data.personal_data_report])
 def test_empty_table(spark, scan):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
