@@ -204,3 +204,23 @@ def test_fuzzy_lines(spark, empty):
     for key, text in rows[4:]:
         assert out[key] == "\n".join(x for k, x in enumerate(text.split("\n")) if (key, k) not in want)
     assert fuzzy_lines.line_report(empty).count() == 0
+
+
+def test_recall_of_fuzzy_lines_by_length(spark):
+    """Against edit similarity of all pairs of original and copy, with one word in ten (one at least) replaced, left out or put in."""
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9))) for _ in range(3000)]
+    rows, lengths = [], ((5, 9), (10, 19), (20, 49), (50, 150))
+    for k, (low, high) in enumerate(lengths):
+        while len(rows) < 100 * (k + 1):
+            line = [rnd.choice(words) for _ in range(rnd.randrange(low, high + 1))]
+            copy = list(line)
+            for i in rnd.sample(range(len(line)), max(1, len(line) // 10)):
+                copy[i] = rnd.choice((rnd.choice(words), "", f"{line[i]} {rnd.choice(words)}"))
+            line, copy = " ".join(line), " ".join(" ".join(copy).split())
+            if len(copy.split()) >= 5 and line != copy and distance(line, copy) <= int(max(len(line), len(copy)) * 0.2 + 1e-9):
+                rows += [(len(rows), line), (len(rows) + 1, copy)]
+    found = [r.doc_id for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    recall = {f"{low}-{high}": sum(x // 100 == k for x in found) / 50 for k, (low, high) in enumerate(lengths)}
+    print("recall by words of a line:", recall)
+    assert min(recall.values()) >= 0.97 and all(x % 2 for x in found)
