@@ -224,3 +224,9 @@ def test_recall_of_fuzzy_lines_by_length(spark):
     recall = {f"{low}-{high}": sum(x // 100 == k for x in found) / 50 for k, (low, high) in enumerate(lengths)}
     print("recall by words of a line:", recall)
     assert min(recall.values()) >= 0.97 and all(x % 2 for x in found)
+
+
+def test_short_lines_and_lines_without_spaces(spark):
+    rows = [(0, "版权所有保留一切权利未经许可不得转载\nPrivacy policy"), (1, "版权所有保留一切权利未经许可不得转截\nPRIVACY policy!"), (2, "今天天气很好我们去公园散步吧\nshort line"), (3, "สงวนลิขสิทธิ์ตามกฎหมาย\nshort line"), (4, "สงวนลิขสิทธิ์ตามกฎหมาย\nPrivacy")]
+    found = {(r.doc_id, r.line_no) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, 0), (1, 1), (4, 0)}
