@@ -230,3 +230,10 @@ def test_short_lines_and_lines_without_spaces(spark):
     rows = [(0, "版权所有保留一切权利未经许可不得转载\nPrivacy policy"), (1, "版权所有保留一切权利未经许可不得转截\nPRIVACY policy!"), (2, "今天天气很好我们去公园散步吧\nshort line"), (3, "สงวนลิขสิทธิ์ตามกฎหมาย\nshort line"), (4, "สงวนลิขสิทธิ์ตามกฎหมาย\nPrivacy")]
     found = {(r.doc_id, r.line_no) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(1, 0), (1, 1), (4, 0)}
+
+
+def test_all_words_of_a_very_long_line_count(spark):
+    head, tail = " ".join(f"h{i % 3000}" for i in range(33000)), " ".join(f"t{i % 5000}" for i in range(40000))
+    rows = [(0, head), (1, f"{head} {tail}"), (2, " ".join(f"{head} {tail}".split()[::-1])), (3, tail)]
+    sims = {r.doc_id: r.sim for r in fuzzy_lines.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sims[1] == sims[2] and len(set(sims.values())) == 3
