@@ -38,14 +38,41 @@ SLOT_SHARE = 0.8
 
 
 class _Element:
-    __slots__ = ("tag", "path", "drop", "article")
+    __slots__ = ("tag", "path", "drop", "article", "marks")
 
-    def __init__(self, tag: str, path: str, drop: bool, article: bool):
-        self.tag, self.path, self.drop, self.article = tag, path, drop, article
+    def __init__(self, tag: str, path: str, drop: bool, article: bool, marks: tuple[int, ...] = ()):
+        self.tag, self.path, self.drop, self.article, self.marks = tag, path, drop, article, marks
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(text, path of the innermost container, inside dropped markup, inside article or main) of every block in page order.
+    """The blocks of ``_parsed`` with what their marks come to.
+
+    A marked element is no dropped markup after all if it holds the page's only article or
+    main, or most of the text; and no mark counts if nothing else would be left.
+    """
+    found = list(_parsed(page))
+    if any(b[4] for b in found):
+        chars: dict[int, int] = {}
+        total, holding, free = 0, set(), False
+        for text, path, drop, _, marks in found:
+            if not drop and not text and path.rsplit("/", 1)[-1].split(".")[0] in ("article", "main"):
+                free |= not marks
+                holding.update(marks)
+            if not drop:
+                total += len(text)
+                for k in marks:
+                    chars[k] = chars.get(k, 0) + len(text)
+        cleared = {k for k, n in chars.items() if n >= SLOT_SHARE * total} if not free else set()
+        cleared |= holding if not free else set()
+        if not any(b[0] and not b[2] and cleared.issuperset(b[4]) for b in found):
+            cleared = set(chars)
+        found = [(t, p, d or not cleared.issuperset(m), a, m) for t, p, d, a, m in found]
+    for text, path, drop, article, _ in found:
+        yield text, path, drop, article
+
+
+def _parsed(page: str) -> Iterator[tuple[str, str, bool, bool, tuple[int, ...]]]:
+    """(text, path of the innermost container, inside dropped elements, inside article or main, marked elements around) of every block in page order.
 
     A container that has no text of its own yet comes as a block with text "".
     """
@@ -53,13 +80,13 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     pieces: list[str] = []
     at = 0
 
-    def flush() -> Iterator[tuple[str, str, bool, bool]]:
+    def flush() -> Iterator[tuple[str, str, bool, bool, tuple[int, ...]]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 top = stack[-1]
-                yield text, top.path, top.drop, top.article
+                yield text, top.path, top.drop, top.article, top.marks
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -92,11 +119,12 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 break
         top = stack[-1]
         article = top.article or tag in ("article", "main")
-        drop = top.drop or tag in _DROP or tag == "header" and not article or _marked(m[4], tag)
+        drop = top.drop or tag in _DROP or tag == "header" and not article
+        marks = (*top.marks, at) if _marked(m[4], tag) else top.marks
         path = f"{top.path}/{tag}{_names(m[4])}" if tag in _CONTAINER else top.path
-        stack.append(_Element(tag, path, drop, article))
+        stack.append(_Element(tag, path, drop, article, marks))
         if tag in _CONTAINER:
-            yield "", path, drop, article
+            yield "", path, drop, article, marks
     pieces.append(page[at:] if not page[at:].lstrip().startswith("<") else "")
     yield from flush()
 
@@ -107,7 +135,8 @@ def _inline(stack: list[_Element], m: re.Match, tag: str) -> None:
         if stack[-1].tag == tag:
             stack.pop()
     elif tag not in _VOID:
-        stack.append(_Element(tag, stack[-1].path, True, stack[-1].article))
+        top = stack[-1]
+        stack.append(_Element(tag, top.path, top.drop or tag in _DROP, top.article, (*top.marks, m.end()) if _marked(m[4]) else top.marks))
 
 
 def _words(attributes: str, *names: str) -> set[str]:
@@ -115,10 +144,11 @@ def _words(attributes: str, *names: str) -> set[str]:
 
 
 def _marked(attributes: str, tag: str = "") -> bool:
-    """Whether class, id or role name something that is no part of an article."""
+    """Whether a class, the id or the role names something that is no part of an article: all words of a name must say so."""
     if not attributes or "=" not in attributes or tag in ("html", "body", "article", "main"):
         return False
-    return bool(_words(attributes, "class", "id") & _DROP_WORDS or _words(attributes, "role") & _DROP_ROLES)
+    names = [_WORD.findall(x) for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for x in (a or b or c).lower().split()]
+    return any(x and _DROP_WORDS.issuperset(x) for x in names) or bool(_words(attributes, "role") & _DROP_ROLES)
 
 
 def _names(attributes: str) -> str:

@@ -26,6 +26,15 @@ def test_templates_have_classes_and_a_slot(spark):
     assert row.host == "site.org" and row.n_tokens >= 2 and row.slot.endswith("/article")
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "with-nav", "sidebar"])
+def test_names_of_wrappers_drop_no_article(name):
+    page = f'<body><div class="{name}"><div class="x"><p>One <a class="nav-link">two</a> three.</p><p>Four five six seven.</p></div></div><div class="related"><p>More</p></div></body>'
+    assert page_template.main_text(page, None) == "One two three.\nFour five six seven."
+    held = f'<body><div class="{name}"><article><p>One</p></article></div><div class="comments"><p>a comment of many more words</p></div></body>'
+    assert page_template.main_text(held, None) == "One"
+    assert page_template.main_text('<main><p>One</p></main><div class="comments"><article><p>a comment of many words</p></article></div>', None) == "One"
+
+
 TEXTS = [None, "", " ", "Hello world, hello!", "é😀 ▁ literal\n\n  two  spaces \t tab", "x" * 3000, "\x00\x7f", "日本語 テキスト"]
 
 
