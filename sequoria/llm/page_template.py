@@ -2,7 +2,8 @@
 
 Tokens of the pages of a host that share an occurrence vector form an equivalence class;
 valid classes (two tokens or more, on most pages) nest into the host's template, and the
-slot of it that holds the varying text is the article. A page of a host without such a
+slot of it that holds the varying text is the article, with the other slots that most pages
+fill and without the template's own texts. A page of a host without such a
 slot falls back to its own markup.
 """
 
@@ -155,16 +156,27 @@ def _names(attributes: str) -> str:
     return "".join(f".{w}" for w in sorted(_words(attributes, "class"))) if "=" in attributes else ""
 
 
-def main_text(page: str | None, slot: str | None) -> str:
-    """The article of a page: what lies in the slot of its host's template, else in article or main, else in the body."""
+def main_text(page: str | None, slot: str | None, slots: list[str] | None = None, skip: list[int] | None = None) -> str:
+    """The article of a page: what lies in the slots of its host's template, else in article or main, else in the body.
+
+    Texts of the template (``skip``) are left out one by one, if other text is left.
+    """
     found = [b for b in blocks(page or "") if b[0] and not b[2]]
     inside = lambda path: path == slot or path.startswith(f"{slot}/")
-    for part in ([b for b in found if slot and inside(b[1])], [b for b in found if b[3]], found):
+    own, more = set(skip or ()), set(slots or ())
+    inner = [b for b in found if slot and inside(b[1])]
+    filled = [b for b in found if inside(b[1]) or b[1] in more] if inner else []
+    for part in (filled, [b for b in found if b[3]], found):
         if part:
-            return "\n".join(b[0] for b in part)
+            left = [b for b in part if _token(True, b[1], b[0]) not in own] if own else part
+            return "\n".join(b[0] for b in left or part)
     return ""
 
 
+def _token(is_text: bool, path: str, text: str) -> int:
+    return int.from_bytes(blake2b(f"{is_text:d}{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:
     """(token, is text, path, occurrences, characters) of a page; a token is a container's path or a block's text at a path."""
     count: dict[tuple[bool, str, str], list[int]] = {(False, "", ""): [1, 0]}
@@ -172,7 +184,7 @@ def _tokens(page: str | None) -> list[tuple[int, bool, str, int, int]]:
         x = count.setdefault((bool(text), path, text), [0, 0])
         x[0] += 1
         x[1] += 0 if drop else len(text)
-    return [(int.from_bytes(blake2b(f"{t:d}{p}\0{s}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), t, p, n, c) for (t, p, s), (n, c) in count.items()]
+    return [(_token(t, p, s), t, p, n, c) for (t, p, s), (n, c) in count.items()]
 
 
 def host_of(url: Column) -> Column:
@@ -180,10 +192,12 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, n_pages, n_tokens, slot): the template of every host that has one.
+    """(host, n_pages, n_tokens, slot, slots, skip): the template of every host that has one.
 
     ``n_tokens`` counts the tokens of valid classes; ``slot`` is the path of its deepest
-    container that holds SLOT_SHARE of the varying text. Everything is aggregated by
+    container that holds SLOT_SHARE of the varying text, ``slots`` are all paths whose varying
+    text would fill half of the pages, ``skip`` the tokens of texts on more than half of three
+    pages or more. A host's lists are as long as two pages at most. Everything is aggregated by
     (host, token) first, so a host with a third of all pages is spread over tasks.
     """
     schema = "host string, page long, token long, is_text boolean, path string, n int, chars long"
@@ -211,7 +225,9 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = (
         held.join(total, "host").filter(F.col("chars") >= SLOT_SHARE * F.col("total")).join(template.select("host", F.explode("paths").alias("path")), ["host", "path"]).groupBy("host").agg(F.max(F.struct(F.size(F.split("path", "/")), "path")).alias("slot"))
     )
-    return template.join(slots, "host", "left").select("host", "n_pages", "n_tokens", F.col("slot.path").alias("slot"))
+    filled = tokens.filter("is_text AND 2 * pages < n_pages AND chars > 0").groupBy("host", "n_pages", "path").agg(F.sum("pages").alias("pages")).filter("2 * pages >= n_pages").groupBy("host").agg(F.collect_list("path").alias("slots"))
+    skip = frequent.filter("is_text AND n_pages > 2 AND 2 * pages > n_pages AND chars > 0").groupBy("host").agg(F.collect_list("token").alias("skip"))
+    return template.join(slots, "host", "left").join(filled, "host", "left").join(skip, "host", "left").select("host", "n_pages", "n_tokens", F.col("slot.path").alias("slot"), "slots", "skip")
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -222,15 +238,15 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     read twice; only tokens and one row for each host are shuffled, unless the templates
     outgrow Spark's broadcast limit.
     """
-    host_slots = templates(pages).filter("slot IS NOT NULL").select("host", "slot")
-    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(host_slots, "host", "left").select("page_id", "url", "html", "slot")
+    host_slots = templates(pages).filter("slot IS NOT NULL").select("host", "slot", "slots", "skip")
+    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(host_slots, "host", "left").select("page_id", "url", "html", "slot", "slots", "skip")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                texts = [main_text(h, s) for h, s in zip(part.column("html").to_pylist(), part.column("slot").to_pylist())]
+                texts = [main_text(*x) for x in zip(*(part.column(c).to_pylist() for c in ("html", "slot", "slots", "skip")))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return named.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

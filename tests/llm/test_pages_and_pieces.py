@@ -35,6 +35,15 @@ def test_names_of_wrappers_drop_no_article(name):
     assert page_template.main_text('<main><p>One</p></main><div class="comments"><article><p>a comment of many words</p></article></div>', None) == "One"
 
 
+def test_all_slots_without_the_texts_of_the_template(spark):
+    page = """<body><div class="page"><h1>Title %d</h1><div class="lead"><p>Lead of %d</p></div><div class="content"><p>First paragraph %d of a long text, with many words in it that no other page has, number %d.</p>
+<div class="box"><p>Read more on our site</p></div><p>Second paragraph %d, which is long enough as well to hold most of the text of the page, number %d.</p></div><div class="end"><p>All rights</p></div></div></body>"""
+    rows = [(i, f"https://site.org/{i}", page % ((i,) * 6)) for i in range(6)]
+    got = {r.page_id: r.text.split("\n") for r in page_template.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert [x[:19] for x in got[i]] == [f"Title {i}", f"Lead of {i}", f"First paragraph {i} o", f"Second paragraph {i},"]
+
+
 TEXTS = [None, "", " ", "Hello world, hello!", "é😀 ▁ literal\n\n  two  spaces \t tab", "x" * 3000, "\x00\x7f", "日本語 テキスト"]
 
 
