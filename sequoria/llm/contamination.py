@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sequoria.llm.shared import written
+
 WINDOW = 13
 #: A document is contaminated if hit words are at least 1 in this many.
 HIT_SHARE = 20
@@ -41,20 +43,29 @@ def windows(text: str | None) -> Iterator[str]:
         yield f" {' '.join(words[k : k + WINDOW])} "
 
 
-def pattern_parts(items: DataFrame, most: int) -> Iterator[dict[str, list[str]]]:
+def patterns_of(items: DataFrame) -> DataFrame:
+    """(pattern, ids of its items) of every different window of ``items``, as a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(batch.column(c).to_pylist() for c in ("item", "text"))):
+                found = list(dict.fromkeys(windows(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.string())], ["item", "pattern"])
+
+    each = items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, pattern string")
+    return written(each.groupBy("pattern").agg(F.collect_set("item").alias("ids")))
+
+
+def pattern_parts(patterns: DataFrame, most: int) -> Iterator[dict[str, list[str]]]:
     """{pattern: ids of its items}, in parts of at most ``most`` characters (or one pattern)."""
     part: dict[str, list[str]] = {}
     size = 0
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        for pattern in windows(row[1]):
-            if pattern not in part:
-                if part and size + len(pattern) > most:
-                    yield part
-                    part, size = {}, 0
-                size += len(pattern)
-            ids = part.setdefault(pattern, [])
-            if row[0] is not None and row[0] not in ids:
-                ids.append(row[0])
+    for pattern, ids in patterns.toLocalIterator():
+        if part and size + len(pattern) > most:
+            yield part
+            part, size = {}, 0
+        size += len(pattern)
+        part[pattern] = ids
     yield part
 
 
@@ -96,12 +107,12 @@ def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and HIT_SHARE * n_hit >= n_words
 
 
-def _verdicts(docs: DataFrame, items: DataFrame, most: int) -> Callable[[str | None], tuple[int, int, list[str]]] | None:
+def _verdicts(docs: DataFrame, table: DataFrame, most: int) -> Callable[[str | None], tuple[int, int, list[str]]] | None:
     """A function for tasks: text -> (n_words, n_hit, ids); None if the patterns need several automata."""
-    parts = pattern_parts(items, most)
-    first = next(parts)
-    if next(parts, None) is not None:
+    n, size = table.agg(F.count("*"), F.sum(F.length("pattern"))).first()
+    if n > 1 and size > most:
         return None
+    first = next(pattern_parts(table, size or 0))
     patterns, name = docs.sparkSession.sparkContext.broadcast(first), uuid.uuid4().hex
 
     def judge(text: str | None) -> tuple[int, int, list[str]]:
@@ -137,11 +148,12 @@ def contamination_report(docs: DataFrame, items: DataFrame, most: int = MAX_PATT
     rows give repeated rows, empty tables an empty result or no hits. Up to ``most``
     characters of patterns go into one broadcast automaton and the report is one narrow
     stage; beyond that each bounded part is scanned in turn and the hits of a text, which
-    are few, are gathered by its row.
+    are few, are gathered by the text; copies of a text are scanned once.
     """
-    judge = _verdicts(docs, items, most)
+    table = patterns_of(items)
+    judge = _verdicts(docs, table, most)
     if judge is None:
-        return _report_in_parts(docs, items, most)
+        return _report_in_parts(docs, table, most)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(*c) for c in _REPORT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +165,12 @@ def contamination_report(docs: DataFrame, items: DataFrame, most: int = MAX_PATT
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_PATTERN_CHARS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns; see ``contamination_report``."""
-    judge = _verdicts(docs, items, most)
+    table = patterns_of(items)
+    judge = _verdicts(docs, table, most)
     if judge is None:
-        bad = _report_in_parts(docs, items, most).filter("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        texts, merged = _hits_in_parts(docs, table, most)
+        bad = _judged(texts.join(merged, "text_key").select(F.col("text_key").alias("doc_id"), "text", "hit", "ids")).filter("contaminated").select(F.col("doc_id").alias("_text_key"))
+        return docs.withColumn("_text_key", _text_key()).join(bad, "_text_key", "left_anti").select(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,16 +179,30 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_PATTERN
     return docs.mapInArrow(run, docs.schema)
 
 
-def _report_in_parts(docs: DataFrame, items: DataFrame, most: int) -> DataFrame:
-    key = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"), "text")
+def _text_key() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def _hits_in_parts(docs: DataFrame, table: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(text_key, text) of every different text, and (text_key, hit, ids) of those with hits; a text has one row for each part."""
+    texts = written(docs.select(_text_key().alias("text_key"), "text").dropDuplicates(["text_key"]))
     hit_type = "array<struct<a:long,b:long>>"
     parts = None
-    for k, patterns in enumerate(pattern_parts(items, most)):
-        found = key.mapInArrow(_part_scanner(docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex), f"text_key string, hit {hit_type}, ids array<string>")
+    for patterns in pattern_parts(table, most):
+        found = texts.mapInArrow(_part_scanner(docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex), f"text_key string, hit {hit_type}, ids array<string>")
         parts = found if parts is None else parts.unionByName(found)
     merged = parts.groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    joined = key.join(merged, "text_key", "left").select("doc_id", "text", "hit", "ids")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(*c) for c in _REPORT)])
+    return texts, merged
+
+
+def _report_in_parts(docs: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    _, merged = _hits_in_parts(docs, table, most)
+    return _judged(docs.select("doc_id", _text_key().alias("text_key"), "text").join(merged, "text_key", "left").select("doc_id", "text", "hit", "ids"))
+
+
+def _judged(joined: DataFrame) -> DataFrame:
+    """The report of rows (doc_id, text, hit, ids)."""
+    schema = T.StructType([T.StructField("doc_id", joined.schema["doc_id"].dataType), *(T.StructField(*c) for c in _REPORT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

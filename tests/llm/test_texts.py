@@ -237,3 +237,11 @@ def test_all_words_of_a_very_long_line_count(spark):
     rows = [(0, head), (1, f"{head} {tail}"), (2, " ".join(f"{head} {tail}".split()[::-1])), (3, tail)]
     sims = {r.doc_id: r.sim for r in fuzzy_lines.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sims[1] == sims[2] and len(set(sims.values())) == 3
+
+
+@pytest.mark.parametrize("most", [contamination.MAX_PATTERN_CHARS, 8])
+def test_each_row_is_judged_by_its_own_text(spark, most):
+    bench = spark.createDataFrame([("i1", "bad words"), ("i2", "other things")], "item_id string, text string")
+    rows = [(None, "bad words"), (None, "fine"), (1, "bad words"), (1, "clean text"), (2, None), (3, "bad words"), (3, "bad words")]
+    kept = contamination.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, most)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[1], rows[3], rows[4]], "doc_id long, text string").collect()))
