@@ -2,63 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sequoria.sources.tables import dropped, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "getCheckpointDir", lambda: None)()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: computed once, and kept if executors are lost.
-
-    The shuffle files of the step go when it has ended, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "dropped", "shared_folder", "written"]
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id of ``edges`` (a, b): root is the smallest id that links reach.
 
-    Alternating large-star and small-star rounds, each a few shuffles of the edges; the
-    rounds grow as the logarithm of the longest chain. No group meets in one row.
+    Alternating large-star and small-star rounds, each a few shuffles of the edges, until
+    none changes; the rounds grow as the logarithm of the longest chain. No group meets in
+    one row.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
         large = both.select("u", "v", least.alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every edge now goes down; the smallest neighbour takes the others
         smallest = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
         small = smallest.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = written(small)
+        last, now = now, written(small)
+        dropped(last)
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"links did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
