@@ -26,7 +26,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, and a stand-in for itself in a text.
 SPACE, LITERAL_SPACE = 0x2581, 0x110000
 _UNIT = re.compile(" *[^ \n▁]+| +|[\n▁]")
-CHUNK_BYTES = 4 << 20
+#: A piece inside a unit; texts can only be cut between units if all pieces are.
+_INSIDE = re.compile("▁*[^▁\n]*|\n")
+CHUNK_BYTES = 1 << 20
 #: Log weight of a byte where a character is no piece.
 BYTE_PENALTY = -14.0
 
@@ -56,7 +58,11 @@ def load_pieces(path: str = DEFAULT_MODEL, prior: str = "zipf") -> Pieces:
     byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     if any(not model.is_byte(i) for i in byte_ids):
         raise ValueError(f"{path} has no byte pieces, so it cannot encode every text")
-    return Pieces(["" if special[i] else model.id_to_piece(i) for i in range(n)], weight, byte_ids)
+    text = ["" if special[i] else model.id_to_piece(i) for i in range(n)]
+    over = [t for t in text if not _INSIDE.fullmatch(t)]
+    if over:
+        raise ValueError(f"{path} has pieces that reach over the places where texts are cut, such as {over[0]!r}")
+    return Pieces(text, weight, byte_ids)
 
 
 class Trie:
