@@ -33,7 +33,7 @@ class Room:
     """
 
     folder: str | None = None
-    rows: int = 1 << 22
+    rows: int = 1 << 18
     base: int = 1 << 22
 
     def array(self, n: int, dtype) -> np.ndarray:

@@ -28,7 +28,7 @@ MORE_ORDERS = 2
 #: 64-bit words of a set's parity sketch.
 PARITY = 4
 #: Counters of the frequency sketch: a fixed size, so what is broadcast does not grow with the corpus.
-SKETCH_BITS, SKETCH_PART = 20, 14
+SKETCH_BITS, SKETCH_PART = 23, 15
 #: Rounds in which a bucket's documents are compared with one of them only.
 STAR_ROUNDS = 2
 
@@ -64,7 +64,7 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for chunk in g.chunks(batch):
                 tokens, at = shingle_sets(*g.texts_of(chunk.column("text")), size)
-                counts += np.bincount(_slots(tokens), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, _slots(tokens), np.uint32(1))
                 sums = []
                 for seed in (73, 74):
                     total = np.zeros(len(tokens) + 1, dtype=np.uint64)
@@ -95,10 +95,11 @@ def _frequency_classes(profiles: DataFrame) -> np.ndarray:
     # by salt first, so that a group's rows don't grow with the number of tasks
     once = parts.groupBy("part", "salt").applyInArrow(_summed, "part int, counts binary")
     rows = once.groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
-    counts = np.zeros((1 << SKETCH_BITS - SKETCH_PART, 1 << SKETCH_PART))
+    counts = np.zeros((1 << SKETCH_BITS - SKETCH_PART, 1 << SKETCH_PART), np.uint32)
     for r in rows:
         counts[r.part] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint32)
-    return np.clip(2 * np.log2(np.maximum(counts.ravel() / (counts.mean() + 1), 1)), 0, 127).astype(np.uint8)
+    above = np.maximum(counts.ravel() / np.float32(counts.mean() + 1), 1)
+    return np.clip(2 * np.log2(above), 0, 127).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray | int, least: int):

@@ -78,24 +78,27 @@ def parse_units(words: np.ndarray, per_text: np.ndarray, rounds: int = PAIR_ROUN
     return repeats.grouped(per_text, words, size, symbol, c0, c1)
 
 
+def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[bytes]]]]]:
+    """Chunks with (number of words, words that stay) of each text."""
+    for part, _, _, parsed, gone in repeats.judged_chunks(batches, parse, WINDOW):
+        texts = [(text.as_py() or "").encode().split() for text in part.column("text")]
+        if parsed is None:
+            yield part, [(len(words), words) for words in texts]
+        else:
+            places = zip(texts, parsed.offsets.tolist(), parsed.offsets[1:].tolist())
+            yield part, [(len(words), [w for w, drop in zip(words, gone[a:b].tolist()) if not drop]) for words, a, b in places]
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, parsed, _, _ in repeats._chunks(batches, parse):
-        gone = repeats.removed_units(part, parsed, WINDOW)
-        n_words, n_removed, digests = np.diff(parsed.offsets), g.sums(gone, parsed.offsets), []
-        for a, b, text in zip(parsed.offsets.tolist(), parsed.offsets[1:].tolist(), part.column("text")):
-            words = (text.as_py() or "").encode().split()
-            if gone[a:b].any():
-                words = [w for w, drop in zip(words, gone[a:b].tolist()) if not drop]
-            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words), pa.array(n_removed), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for part, texts in _kept_words(batches):
+        removed = pa.array([n - len(words) for n, words in texts], pa.int64())
+        digests = pa.array([hashlib.sha256(b" ".join(words)).hexdigest() for _, words in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _ in texts], pa.int64()), removed, digests], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, parsed, _, _ in repeats._chunks(batches, parse):
-        gone, texts = repeats.removed_units(part, parsed, WINDOW), []
-        for a, b, text in zip(parsed.offsets.tolist(), parsed.offsets[1:].tolist(), part.column("text")):
-            texts.append(" ".join(w.decode() for w, drop in zip((text.as_py() or "").encode().split(), gone[a:b].tolist()) if not drop))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for part, texts in _kept_words(batches):
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b" ".join(words).decode() for _, words in texts], pa.string())], ["doc_id", "text"])
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -20,11 +20,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequoria.llm import textgrid as g
-from sequoria.llm.shared import written
+from sequoria.llm.shared import in_common, written
 
 
 @dataclass
@@ -108,6 +109,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], parse: Parser) -> Iterator[tuple[
             yield part, parse(data, offsets), data, offsets
 
 
+def judged_chunks(batches: Iterator[pa.RecordBatch], parse: Parser, size: int, names: Callable[..., dict[str, np.ndarray]] | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Parsed | None, np.ndarray | None]]:
+    """Chunks as (rows, bytes, offsets, parsed, units that go); texts that lose nothing come apart and are not parsed."""
+    for batch in batches:
+        loses = np.zeros(batch.num_rows, dtype=bool)
+        for column in ("cover", "windows"):
+            loses |= pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) > 0
+        for rows in (loses, ~loses):
+            for part in g.chunks(batch.filter(pa.array(rows)), limit=CHUNK_BYTES):
+                data, offsets = g.texts_of(part.column("text"))
+                parsed = parse(data, offsets) if rows is loses else None
+                yield part, data, offsets, parsed, parsed and removed_units(part, parsed, size, names)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -218,8 +232,7 @@ def with_instructions(docs: DataFrame, parse: Parser, size: int, prefilter: bool
     source = docs.filter("doc_id IS NOT NULL AND octet_length(text) >= 50")
     if prefilter:
         named = source.mapInArrow(partial(_symbols, parse=parse), _typed(docs, "symbol long"))
-        common = named.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("symbol")
-        lists = named.join(common, "symbol", "left_semi").groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols"))
+        lists = written(in_common(named, "symbol", "doc_id").groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols")))
         source = source.join(lists, "doc_id")
     groups = source.mapInArrow(partial(_groups, parse=parse), _typed(docs, "symbol long, content long"))
     if prefilter:

@@ -8,7 +8,14 @@ from pyspark.sql.window import Window
 
 from sequoria.sources.tables import dropped, shared_folder, written
 
-__all__ = ["components", "dropped", "shared_folder", "written"]
+__all__ = ["components", "dropped", "in_common", "shared_folder", "written"]
+
+
+def in_common(rows: DataFrame, key: str, who: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` different ``who`` have; they are made and dealt out once."""
+    dealt = rows.repartition(key)
+    several = dealt.groupBy(key).agg(F.min(who).alias("low"), F.max(who).alias("high")).filter("low < high").select(key)
+    return dealt.join(several.hint("shuffle_hash"), key, "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:

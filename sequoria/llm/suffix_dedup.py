@@ -161,16 +161,16 @@ def _with_instructions(docs: DataFrame) -> DataFrame:
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, parsed, data, offsets in repeats._chunks(batches, parse):
-        gone = repeats.removed_units(part, parsed, WINDOW, _names)
+    for part, data, offsets, parsed, gone in repeats.judged_chunks(batches, parse, WINDOW, _names):
+        gone = np.zeros(len(data), dtype=bool) if parsed is None else gone
         begin, _, per_text = g.runs_of(gone, offsets)
         digests = [hashlib.sha256((data[a:b][~gone[a:b]] if n else data[a:b]).tobytes()).hexdigest() for a, b, n in zip(offsets.tolist(), offsets[1:].tolist(), np.diff(per_text).tolist())]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(g.sums(gone, offsets)), pa.array(np.diff(per_text)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, parsed, data, offsets in repeats._chunks(batches, parse):
-        gone = repeats.removed_units(part, parsed, WINDOW, _names)
+    for part, data, offsets, parsed, gone in repeats.judged_chunks(batches, parse, WINDOW, _names):
+        gone = np.zeros(len(data), dtype=bool) if parsed is None else gone
         texts = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
