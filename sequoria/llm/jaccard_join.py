@@ -208,7 +208,8 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) ->
     docs = docs.select("doc_id", "text")
     profiles = written(_profiles(docs, size))
     sets = profiles.filter("part IS NULL").select("doc_id", "n", "s1", "s2")
-    classes = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join of a large class's rows at the end can be split
+    classes = written(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefixes = written(_prefixes(docs.filter("doc_id IS NOT NULL"), _frequency_classes(profiles), size, least).join(reps, "doc_id", "left_semi"))
     tokens = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
