@@ -25,8 +25,9 @@ from sequoria.llm.shared import written
 WINDOW = 50
 #: Bytes from an anchor on that its symbol stands for.
 ANCHOR = 24
-#: Bytes of slices in a shard. A symbol with more of them is compared by whole windows.
-SHARD_BYTES = 2 << 20
+#: Bytes of slices in a shard on average, and of the largest symbol that a shard takes (its queues wait on disk by then). A
+#: symbol with more of them is compared by whole windows, which Spark spreads.
+SHARD_BYTES, SYMBOL_BYTES = 2 << 20, 8 << 20
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -134,22 +135,22 @@ def _judged(batches: Iterator[pa.RecordBatch], room: induced.Room = induced.Room
         yield from rows.combine_chunks().to_batches()
 
 
-def _by_suffix_arrays(wanted: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _by_suffix_arrays(wanted: DataFrame) -> DataFrame:
     """(doc_id, windows): the windows of the slices to look at that a smaller document has too."""
     kind = repeats._typed(wanted, "symbol long, content long")
     slices = written(wanted.mapInArrow(_slices, f"{kind}, slice binary"))
     by_symbol = slices.groupBy("symbol").agg(F.sum(F.octet_length("slice")).alias("size"))
     total = by_symbol.agg(F.sum("size")).first()[0] or 0
-    # symbols beyond a shard: few, and told by size alone
-    hot = by_symbol.filter(F.col("size") > shard_bytes).select("symbol")
+    # few, and told by size alone
+    hot = by_symbol.filter(F.col("size") > SYMBOL_BYTES).select("symbol")
     spark = wanted.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     found = slices.join(hot, "symbol", "left_anti").repartition(shards, "symbol").select("doc_id", "symbol", "content", "slice").mapInArrow(_judged, f"{kind}, offset long")
     windows = slices.join(hot, "symbol").select("doc_id", "symbol", "content", "slice", F.explode(F.sequence(F.lit(0), F.octet_length("slice") - WINDOW)).alias("offset"))
     windows = windows.select("doc_id", "symbol", "content", F.col("offset").cast("long").alias("offset"), F.substring("slice", F.col("offset") + 1, F.lit(WINDOW)).alias("window"))
     least = windows.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"))
     found = found.unionByName(windows.join(least, ["symbol", "window"]).filter("doc_id > least").select("doc_id", "symbol", "content", "offset"))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "content", "offset")).alias("windows"))
+    return written(found.groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "content", "offset")).alias("windows")))
 
 
 def _names(parsed: repeats.Parsed, group: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:

@@ -137,10 +137,10 @@ def test_repeated_passages_of_words(docs, empty):
     assert recompression.repeat_report(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard_bytes", [suffix_dedup.SHARD_BYTES, 200])
-def test_repeated_passages_of_bytes(docs, empty, shard_bytes, monkeypatch):
+@pytest.mark.parametrize("symbol_bytes", [suffix_dedup.SYMBOL_BYTES, 200])
+def test_repeated_passages_of_bytes(docs, empty, symbol_bytes, monkeypatch):
     rows, df = docs
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(suffix_dedup, "SYMBOL_BYTES", symbol_bytes)
     units = [(t or "").encode() for _, t, *_ in rows]
     gone = removed(units, 50)
     spans = [sum(k - 1 not in g for k in g) for g in gone]
@@ -167,6 +167,20 @@ def test_external_induction(rows, base):
             assert x[:need] >= y[:need] and min(lcp, need) == min(c, need)
 
 
+def test_queues_wait_on_disk_at_shipped_settings(monkeypatch):
+    rng, spills = np.random.default_rng(3), []
+    parts = [rng.integers(1, 30, 90) for _ in range(12000)]
+    text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint16)
+    spill = induced.Queue.spill
+    monkeypatch.setattr(induced.Queue, "spill", lambda self: (spills.append(self.rows), spill(self))[1])
+    room = induced.Room(tempfile.gettempdir())
+    place = np.concatenate([p for p, _ in induced.suffixes(text, 30, suffix_dedup.WINDOW, room)])[::-1]
+    assert len(text) < suffix_dedup.SHARD_BYTES and spills and max(spills) <= 2 * room.rows
+    sample = place[:: len(place) // 500]
+    keys = [text[a : a + suffix_dedup.WINDOW].tolist() for a in sample.tolist()]
+    assert len(place) == len(text) == len(set(place.tolist())) and keys == sorted(keys, reverse=keys[0] > keys[-1])
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
