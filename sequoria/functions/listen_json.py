@@ -36,12 +36,14 @@ def spotify_artist_id(line: Column) -> Column:
 
 
 def duration_ms(line: Column) -> Column:
-    """duration_ms, else seconds in duration; 0 where neither is a positive number."""
+    """duration_ms, else seconds in duration; 0 where neither is a positive number or a text of digits."""
 
     def positive(field: str, scale: int) -> Column:
         number = _text(line, f"{INFO}.{field}")
         value = number.try_cast("double")
-        return F.when(number.rlike(r"^[0-9.]+(?:[eE][+-]?[0-9]+)?$") & (value > 0), F.floor(value * scale).cast("long"))
+        in_quotes = _text(line, INFO).rlike(f'[{{,]"{field}":"')
+        valid = F.when(in_quotes, number.rlike("^[0-9]+$")).otherwise(number.rlike(r"^[0-9.]+(?:[eE][+-]?[0-9]+)?$"))
+        return F.when(valid & (value > 0), F.floor(value * scale).cast("long"))
 
     return F.coalesce(positive("duration_ms", 1), positive("duration", 1000), F.lit(0).cast("long"))
 

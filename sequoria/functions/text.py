@@ -24,8 +24,6 @@ YEAR_LEFT = r"(?U)\s+-\s+\d{4}$"
 _BEYOND_ASCII = regex.compile(r"[^\x00-\x7F]")
 #: Characters of a combining class.
 _MARKS = regex.compile(r"[^\p{ccc=0}]")
-#: Notes can be stacked; so many layers of them are taken off.
-LAYERS = 4
 
 
 @lru_cache(maxsize=1 << 16)
@@ -80,11 +78,18 @@ def ascii_clean_text(text: Column) -> Column:
 
 
 def without_notes(title: Column) -> Column:
-    """A title without featured artists, version notes and the years that these leave."""
-    for _ in range(LAYERS):
+    """A title without featured artists, version notes and the years that these leave, however many are stacked.
+
+    A pass that changes a title takes off a dash or an opening bracket, or all behind a featured
+    artist, so a title settles in as many passes as it has of these and one.
+    """
+    def once(text: Column, _: Column) -> Column:
         for pattern in (FEATURING, VERSION_NOTE, YEAR_LEFT):
-            title = F.regexp_replace(title, pattern, "")
-    return title
+            text = F.regexp_replace(text, pattern, "")
+        return text
+
+    passes = F.sequence(F.lit(0), F.length(F.regexp_replace(title, r"[^(\[-]", "")))
+    return F.aggregate(passes, title, once)
 
 
 def clean_title(title: Column) -> Column:
