@@ -8,6 +8,7 @@ text once; the ends of its matches are mapped back to word numbers of the text.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,9 @@ MAX_PATTERN_CHARS = 4_000_000
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def normalise(text: str | None) -> tuple[str, int]:
     """(words with a space before and after each, their number); one character for each byte of UTF-8."""
     words = (text or "").encode("utf-8").translate(_NORMAL).split(b" ")
@@ -103,38 +107,62 @@ def union_size(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
+def spans_of(text: str | None, ranges: list[tuple[int, int]]) -> str:
+    """begin:end of the maximal runs of hit words in the original text, in code points, joined by commas."""
+    if not ranges:
+        return ""
+    raw = (text or "").encode()
+    places = [m.span() for m in _WORD.finditer(raw)]
+    runs: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    out, at, chars = [], 0, 0
+    for edge in (x for a, b in runs for x in (places[a][0], places[b - 1][1])):
+        chars, at = chars + len(raw[at:edge].decode()), edge
+        out.append(chars)
+    return ",".join(f"{a}:{b}" for a, b in zip(out[::2], out[1::2]))
+
+
 def is_contaminated(n_words: int, n_hit: int) -> bool:
     return n_hit > 0 and HIT_SHARE * n_hit >= n_words
 
 
-def _verdicts(docs: DataFrame, table: DataFrame, most: int) -> Callable[[str | None], tuple[int, int, list[str]]] | None:
-    """A function for tasks: text -> (n_words, n_hit, ids); None if the patterns need several automata."""
+#: (n_words, n_hit, ids of the items found, spans)
+Judged = tuple[int, int, list[str], str]
+
+
+def _verdicts(docs: DataFrame, table: DataFrame, most: int) -> Callable[[str | None], Judged] | None:
+    """A function for tasks: text -> what is judged of it; None if the patterns need several automata."""
     n, size = table.agg(F.count("*"), F.sum(F.length("pattern"))).first()
     if n > 1 and size > most:
         return None
     first = next(pattern_parts(table, size or 0))
     patterns, name = docs.sparkSession.sparkContext.broadcast(first), uuid.uuid4().hex
 
-    def judge(text: str | None) -> tuple[int, int, list[str]]:
+    def judge(text: str | None) -> Judged:
         normal, n = normalise(text)
         hit, ids = scan(normal, automaton(name, patterns.value))
-        return n, union_size(hit), sorted(ids)
+        return n, union_size(hit), sorted(ids), spans_of(text, hit)
 
     return judge
 
 
-_REPORT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
+_REPORT = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("spans", T.StringType())]
 
 
-def _rows(key: pa.Array, judged: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+def _rows(key: pa.Array, judged: list[Judged]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             key,
-            pa.array([n for n, _, _ in judged], pa.int64()),
-            pa.array([h for _, h, _ in judged], pa.int64()),
-            pa.array([len(ids) for _, _, ids in judged], pa.int64()),
-            pa.array([hashlib.sha256(",".join(ids).encode()).hexdigest() for _, _, ids in judged], pa.string()),
-            pa.array([is_contaminated(n, h) for n, h, _ in judged], pa.bool_()),
+            pa.array([n for n, *_ in judged], pa.int64()),
+            pa.array([h for _, h, *_ in judged], pa.int64()),
+            pa.array([len(ids) for _, _, ids, _ in judged], pa.int64()),
+            pa.array([hashlib.sha256(",".join(ids).encode()).hexdigest() for _, _, ids, _ in judged], pa.string()),
+            pa.array([is_contaminated(n, h) for n, h, *_ in judged], pa.bool_()),
+            pa.array([spans for *_, spans in judged], pa.string()),
         ],
         ["doc_id", *(c for c, _ in _REPORT)],
     )
@@ -143,6 +171,8 @@ def _rows(key: pa.Array, judged: list[tuple[int, int, list[str]]]) -> pa.RecordB
 def contamination_report(docs: DataFrame, items: DataFrame, most: int = MAX_PATTERN_CHARS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text), judged against ``items`` (item_id, text).
 
+    ``spans`` has the places of the hit words in the original text (code points, end exclusive).
+
     Null and empty texts have no words and no hits; an item without words matches nothing,
     an item without an id marks words but is not listed. Other columns are ignored, repeated
     rows give repeated rows, empty tables an empty result or no hits. Up to ``most``
@@ -174,7 +204,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, most: int = MAX_PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not is_contaminated(n, h) for n, h, _ in (judge(x.as_py()) for x in batch.column("text"))], pa.bool_()))
+            yield batch.filter(pa.array([not is_contaminated(n, h) for n, h, *_ in (judge(x.as_py()) for x in batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -207,7 +237,8 @@ def _judged(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, hits, ids = (batch.column(c).to_pylist() for c in ("text", "hit", "ids"))
-            yield _rows(batch.column("doc_id"), [(normalise(t)[1], union_size([(x["a"], x["b"]) for x in h or ()]), sorted(i or ())) for t, h, i in zip(texts, hits, ids)])
+            ranges = [[(x["a"], x["b"]) for x in h or ()] for h in hits]
+            yield _rows(batch.column("doc_id"), [(normalise(t)[1], union_size(r), sorted(i or ()), spans_of(t, r)) for t, r, i in zip(texts, ranges, ids)])
 
     return joined.mapInArrow(run, schema)
 

@@ -30,12 +30,17 @@ _DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 #: Elements whose start closes an open one of these names, up to a container.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: No part of a tag reaches over the next "<", and nothing is tried again, so a page is read in time that grows with its length.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|template|noscript|iframe|svg)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<]*+\"|'[^'<]*+')*+)>", re.S | re.I)
+#: A tag that the end of the page cuts off.
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<]*\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: A token belongs to a template if it is on at least half of a host's pages; the slot must hold so much of the varying text.
 SLOT_SHARE = 0.8
+#: Templates of all hosts up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 class _Element:
@@ -126,7 +131,7 @@ def _parsed(page: str) -> Iterator[tuple[str, str, bool, bool, tuple[int, ...]]]
         stack.append(_Element(tag, path, drop, article, marks))
         if tag in _CONTAINER:
             yield "", path, drop, article, marks
-    pieces.append(page[at:] if not page[at:].lstrip().startswith("<") else "")
+    pieces.append(_CUT_TAG.sub("", page[at:]))
     yield from flush()
 
 
@@ -210,8 +215,10 @@ def templates(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64()))], ["host", "page", "token", "is_text", "path", "n", "chars"])
 
     found = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, schema)
-    # the vector of a token: which pages have it how often, folded into one number
-    vectors = written(found.groupBy("host", "token", "is_text", "path").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")))
+    # the vector of a token: which pages have it how often, folded into one number; a sum, as repeated rows would cancel each other in a parity
+    name = F.xxhash64("page", "n")
+    vector = F.xxhash64(F.bit_xor(name), F.sum(F.shiftrightunsigned(name, 32)), F.count("*"))
+    vectors = written(found.groupBy("host", "token", "is_text", "path").agg(vector.alias("vector"), F.count("*").alias("pages"), F.sum("chars").alias("chars")))
     # every page has the token of the outermost container once
     counted = vectors.filter("NOT is_text AND path = '' AND pages > 1").select("host", F.col("pages").alias("n_pages"))
     tokens = vectors.join(counted, "host")
@@ -236,9 +243,12 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     Null or empty html gives an empty text; a null url belongs to the host "". Repeated
     rows stay, other columns are left out, an empty table gives an empty result. Pages are
     read twice; only tokens and one row for each host are shuffled, unless the templates
-    outgrow Spark's broadcast limit.
+    are larger than BROADCAST_BYTES; then pages are joined with them by host.
     """
-    host_slots = templates(pages).filter("slot IS NOT NULL").select("host", "slot", "slots", "skip")
+    host_slots = written(templates(pages).filter("slot IS NOT NULL").select("host", "slot", "slots", "skip"))
+    size = host_slots.agg(F.sum(F.octet_length("host") + F.octet_length("slot") + F.octet_length(F.array_join(F.coalesce("slots", F.array()), "")) + 8 * F.size(F.coalesce("skip", F.array().cast("array<long>"))))).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
+        host_slots = F.broadcast(host_slots)
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(host_slots, "host", "left").select("page_id", "url", "html", "slot", "slots", "skip")
     kind = pages.schema["page_id"].dataType.simpleString()
 

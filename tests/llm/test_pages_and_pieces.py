@@ -1,5 +1,7 @@
 """HTML extraction, sampled pieces and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -99,3 +101,21 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert ids(out) == ids(kept) and out.filter("NOT lossless").count() == 0
     assert {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {(r.doc_id, tuple(r.ids)) for r in out.collect()}
+
+
+def test_repeated_pages_long_pages_and_cut_pages(spark):
+    page = lambda k: f"<html><body><div class='top'>Shop of wonders</div><div class='c{k % 1}'><p>story {k} begins here with words of its own {k * 7}</p><p>and ends {k}</p></div><div>imprint</div></body></html>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(8)] * 2 + [(90, "http://b.example/", "<p>" + "long words " * 40000), (91, None, "<body>one < 3 two <a hre"), (92, "http://b.example/x", "<a \"" * 20000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS slot", "3 AS page", "4 AS token")
+    got = [(r.page_id, r.text) for r in page_template.extract_articles(pages).collect()]
+    assert len(got) == len(rows)
+    for k in range(8):
+        assert [t for i, t in got if i == k] == [f"story {k} begins here with words of its own {k * 7}\nand ends {k}"] * 2
+    texts = dict(got)
+    assert texts[90] == ("long words " * 40000).strip() and texts[91] == "one < 3 two" and len(texts[92]) < 100000
+
+
+def test_models_whose_pieces_reach_over_cuts_are_refused(monkeypatch):
+    monkeypatch.setattr(sampled_pieces, "_INSIDE", re.compile("x"))
+    with pytest.raises(ValueError, match="reach over"):
+        sampled_pieces.load_pieces()

@@ -71,7 +71,9 @@ def test_contamination_in_one_and_in_several_parts(spark, docs, empty):
         words = norm(text)
         found = [(i, k, len(w)) for i, w in windows for k in range(len(words) - len(w) + 1) if tuple(words[k : k + len(w)]) == w]
         hit, ids = {k + d for _, k, n in found for d in range(n)}, sorted({i for i, _, _ in found if i})
-        want[key] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words))
+        places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        spans = ",".join(f"{places[k][0]}:{places[next(e for e in range(k, len(words)) if e + 1 not in hit)][1]}" for k in sorted(hit) if k - 1 not in hit)
+        want[key] = (len(words), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words), spans)
     for most in (contamination.MAX_PATTERN_CHARS, 60):
         assert {r[0]: tuple(r[1:]) for r in contamination.contamination_report(df, bench, most).collect()} == want
         assert sorted(r.doc_id for r in contamination.drop_contaminated(df, bench, most).collect()) == sorted(k for k, w in want.items() if not w[4])
