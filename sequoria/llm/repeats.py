@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sequoria.llm import textgrid as g
-from sequoria.llm.shared import in_common, written
+from sequoria.llm.shared import dropped, in_common, written
 
 
 @dataclass
@@ -234,16 +234,18 @@ def with_instructions(docs: DataFrame, parse: Parser, size: int, prefilter: bool
         named = source.mapInArrow(partial(_symbols, parse=parse), _typed(docs, "symbol long"))
         lists = written(in_common(named, "symbol", "doc_id").groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols")))
         source = source.join(lists, "doc_id")
-    groups = source.mapInArrow(partial(_groups, parse=parse), _typed(docs, "symbol long, content long"))
-    if prefilter:
-        groups = written(groups)
-    # first by (symbol, content), then by symbol: a passage of any number of documents is one row by then
-    classes = groups.groupBy("symbol", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    symbols = classes.groupBy("symbol").agg(F.min("least").alias("s_least"), F.max("most").alias("s_most"), F.count("*").alias("contents")).filter("s_least < s_most")
-    useful = classes.join(symbols, "symbol").filter("contents > 1 OR least < most").select("symbol", "content", "least", (F.col("contents") > 1).alias("several"))
+    groups = written(source.mapInArrow(partial(_groups, parse=parse), _typed(docs, "symbol long, content long")))
+    # first by (symbol, content), then by symbol: a passage of any number of documents is one row by then; each step is
+    # written, so that the shuffle files of one are on disk at a time
+    classes = written(groups.groupBy("symbol", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    dealt = classes.repartition("symbol")
+    symbols = dealt.groupBy("symbol").agg(F.min("least").alias("s_least"), F.max("most").alias("s_most"), F.count("*").alias("contents")).filter("s_least < s_most")
+    useful = written(dealt.join(symbols.hint("shuffle_hash"), "symbol").filter("contents > 1 OR least < most").select("symbol", "content", "least", (F.col("contents") > 1).alias("several")))
+    dropped(classes)
     told = groups.join(useful, ["symbol", "content"]).filter("doc_id > least OR several")
     pair = F.struct("symbol", "content")
     lists = written(told.groupBy("doc_id").agg(F.collect_list(F.when(F.col("doc_id") > F.col("least"), pair)).alias("cover"), F.collect_list(F.when(F.col("doc_id") == F.col("least"), pair)).alias("expand")))
+    dropped(groups, useful)
     wanted = source.select("doc_id", "text").join(lists.filter(F.size("expand") > 0).select("doc_id", "expand"), "doc_id")
     later = (judge or partial(_by_window_hashes, parse=parse, size=size))(wanted)
     return docs.select("doc_id", "text").join(lists.join(later, "doc_id", "left"), "doc_id", "left")
