@@ -255,7 +255,7 @@ def test_stacked_notes_and_written_durations(spark):
     from sequoria.functions import text as names
 
     notes = "".join(f" - {1990 + k} Remaster" for k in range(7))
-    titles = spark.createDataFrame([(f"Song{notes}",), ("Song (Live) [Remastered 2011] feat. Someone",), ("Song",), ("",), (None,), ("--((",)], "t string")
+    titles = spark.createDataFrame([(f"Song{notes}",), ("Song (Mono) [Remastered 2011] feat. Someone",), ("Song",), ("",), (None,), ("--((",)], "t string")
     assert [r.t for r in titles.select(names.clean_title(F.col("t")).alias("t")).collect()] == ["song", "song", "song", "", None, ""]
     values = [('"351000.7"', 0), ('"3e5"', 0), ('"351000"', 351000), ("351000.7", 351000), ("3e5", 300000), ("-1", 0), ("null", 0), ("true", 0)]
     lines = spark.createDataFrame([(k, f'{{"track_metadata": {{"additional_info": {{"x": 1, "duration_ms": {v}}}}}}}') for k, (v, _) in enumerate(values)], "k int, line string")
