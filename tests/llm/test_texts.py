@@ -7,6 +7,7 @@ import tempfile
 
 import numpy as np
 import pytest
+import xxhash
 
 from sequoria.llm import contamination, fuzzy_lines, induced, jaccard_join, recompression, repetition, suffix_dedup
 
@@ -246,11 +247,15 @@ def test_short_lines_and_lines_without_spaces(spark):
     assert found == {(1, 0), (1, 1), (3, 1), (4, 0)}
 
 
-def test_all_words_of_a_very_long_line_count(spark):
-    head, tail = " ".join(f"h{i % 3000}" for i in range(33000)), " ".join(f"t{i % 5000}" for i in range(40000))
-    rows = [(0, head), (1, f"{head} {tail}"), (2, " ".join(f"{head} {tail}".split()[::-1])), (3, tail)]
+def test_all_words_of_lines_of_any_length_count(spark):
+    """The SimHash against its definition: the majority of each bit over all different pairs of neighbouring words."""
+    mixed = lambda h, seed: xxhash.xxh64(h.to_bytes(8, "little"), seed).intdigest()
+    rows = [(k, " ".join(f"h{i % 3000 * (k + 1)}" for i in range(n))) for k, n in enumerate((1, 2, 5, 63, 64, 200, 255, 256, 700, 33000, 73000))]
     sims = {r.doc_id: r.sim for r in fuzzy_lines.line_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sims[1] == sims[2] and len(set(sims.values())) == 3
+    for key, text in rows:
+        hashes = [xxhash.xxh64(w.encode(), 42).intdigest() for w in text.split()]
+        pairs = {mixed(b, mixed(a, 42)) for a, b in zip(hashes, hashes[1:])} | {mixed(hashes[-1], 42)}
+        assert sims[key] == sum(1 << b for b in range(fuzzy_lines.BITS) if 2 * sum(p >> b & 1 for p in pairs) > len(pairs))
 
 
 @pytest.mark.parametrize("most", [contamination.MAX_PATTERN_CHARS, 8])
