@@ -28,7 +28,7 @@ def month_of(name: Column) -> tuple[Column, Column]:
 def month_overlaps(year: Column, month: Column, start: int, end: int) -> Column:
     """Whether a month has seconds of [start, end): for partitions that need not be read."""
     first = F.make_date(year, month, F.lit(1))
-    second = lambda d: F.unix_seconds(d.cast("timestamp"))
+    second = lambda d: F.unix_date(d).cast("long") * 86_400
     return (second(first) < end) & (second(F.add_months(first, 1)) > start)
 
 
