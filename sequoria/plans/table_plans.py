@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sequoria.functions import arrays as a
 from sequoria.functions import text as t
 from sequoria.operators import catalog as c
-from sequoria.operators import features, incremental, personal, ranking, search
+from sequoria.operators import features, ids, incremental, personal, ranking, search
 from sequoria.operators import sequences as q
 from sequoria.plans import inputs as i
 from sequoria.sources import dumps, playlists, snapshots
@@ -298,12 +298,20 @@ def reranked_lists(spark, sf_dir):
     return ranking.reranked(rows)
 
 
+def disjoint_samples(spark, sf_dir):
+    """Sizes of two fixed samples of one seed, and the rows that both have."""
+    rows = i.table(spark, sf_dir, "part").select("p_partkey")
+    one, two = ids.fixed_sample(rows, "p_partkey", 50), ids.fixed_sample(rows, "p_partkey", 70, skip=50)
+    size = lambda df, name: df.agg(F.count("*").alias(name))
+    return size(one, "one").crossJoin(size(two, "two")).crossJoin(size(one.intersect(two), "common"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         dump_months, lines_of_months, unpacked_lines, file_checksums, keyed_listens, store_entries, artist_genre_lines, merged_genre_sources, voted_genres, linked_artists, exported_plays, snapshot_rows, manifest_version, equal_digests,
         rows_of_shards, live_rows, version_lineage, search_documents, upserted_documents, name_order, name_keys, iso_times, known_genres, long_playlists, padded_inputs, sequence_starts, fresh_listens, standby_report, lost_rows,
-        lowered_counts, genres_or_default, feature_scale, seeds_summary, best_setting, model_difference, new_finds, most_played, reranked_lists,
+        lowered_counts, genres_or_default, feature_scale, seeds_summary, best_setting, model_difference, new_finds, most_played, reranked_lists, disjoint_samples,
     )
 }
 
@@ -356,5 +364,6 @@ SQL = {
     "new_finds": f"""WITH {i.LISTENS}, x AS (SELECT DISTINCT "user", item FROM l WHERE sec < {i.START + 15 * 86_400}), h AS (SELECT DISTINCT "user", item FROM l WHERE sec >= {i.START + 15 * 86_400}), k AS (SELECT DISTINCT "user", item FROM l WHERE event_id % 3 = 0)
         SELECT x."user", round(avg((k.item IS NULL)::INT), 9) AS new_share, round(100 * avg((k.item IS NULL AND h.item IS NOT NULL)::INT), 9) AS finds_per_100 FROM x LEFT JOIN h USING ("user", item) LEFT JOIN k USING ("user", item) GROUP BY x."user\"""",
     "most_played": f"WITH {i.PLAYLISTS} SELECT item AS id, count(*) AS n FROM p GROUP BY item ORDER BY n DESC, id LIMIT 50",
+    "disjoint_samples": "SELECT 50 AS one, 70 AS two, 0 AS common",
     "reranked_lists": f'WITH {i.PLAYLISTS} SELECT seq AS "case", item, item % 3 AS score, row_number() OVER (PARTITION BY seq ORDER BY item % 3 DESC, pos) AS rank FROM p',
 }
