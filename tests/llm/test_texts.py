@@ -241,6 +241,23 @@ def test_recall_of_fuzzy_lines_by_length(spark):
     assert min(recall.values()) >= 0.97 and all(x % 2 for x in found)
 
 
+def test_lines_that_share_a_common_passage(spark):
+    """More lines than a key compares in full share half of their words; only those that are alike beside it meet, and all of these do."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(2, 9)))
+    passage = [word() for _ in range(30)]
+    tails = [[word() for _ in range(30)] for _ in range(fuzzy_lines.FULL + 60)]
+    rows = [(i, " ".join(passage + tail)) for i, tail in enumerate(tails)]
+    rows += [(1000 + i, " ".join(passage + [word()] + tails[i][1:])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in fuzzy_lines.dropped_lines(df).collect()} == {1000 + i for i in range(40)}
+    lines = fuzzy_lines.written(fuzzy_lines.line_table(df).selectExpr("line", "struct(doc_id, line_no) AS first", "n", "size", "sim", "shingles"))
+    pairs = fuzzy_lines._rest_pairs(df, lines, fuzzy_lines._buckets(lines), spark.createDataFrame([], "id long, root long"))
+    assert pairs.count() < len(rows)
+    told = {r.common for r in fuzzy_lines._rare_shingles(df, lines, lines.select("line")).collect()}
+    assert told == {False}
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     rows = [(0, "版权所有保留一切权利未经许可不得转载\nPrivacy policy"), (1, "版权所有保留一切权利未经许可不得转截\nPRIVACY policy!"), (2, "今天天气很好我们去公园散步吧\nshort line"), (3, "สงวนลิขสิทธิ์ตามกฎหมาย\nshort line"), (4, "สงวนลิขสิทธิ์ตามกฎหมาย\nPrivacy")]
     found = {(r.doc_id, r.line_no) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
