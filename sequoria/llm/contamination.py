@@ -262,14 +262,20 @@ def _part_scanner(patterns, name: str):
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 p AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(list_slice(w, i, i + 12), ' ') AS gram FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 g AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p))),
 h AS (SELECT doc_id, g.n, i, item FROM g JOIN p USING (gram) WHERE g.n = p.n),
-hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, (SELECT unnest(range(13)) AS k) WHERE k < h.n GROUP BY doc_id),
+places AS (SELECT DISTINCT doc_id, i + k AS place FROM h, (SELECT unnest(range(13)) AS k) WHERE k < h.n),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+runs AS (SELECT doc_id, min(place) AS a, max(place) AS b FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM places) GROUP BY doc_id, run),
+-- lengths of what stands before each word, and of the words, up to a place of the original text
+parts AS (SELECT doc_id, list_transform(regexp_extract_all(t, '([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)', 1), lambda x: length(x)) AS gap, list_transform(w, lambda x: length(x)) AS size FROM d SEMI JOIN hit USING (doc_id)),
+marked AS (SELECT doc_id, string_agg(begin_ || ':' || end_, ',' ORDER BY begin_) AS spans FROM (
+  SELECT doc_id, (list_sum(gap[1:a]) + coalesce(list_sum(size[1:a - 1]), 0))::BIGINT AS begin_, (list_sum(gap[1:b]) + list_sum(size[1:b]))::BIGINT AS end_ FROM runs JOIN parts USING (doc_id)) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN marked USING (doc_id)
 """
