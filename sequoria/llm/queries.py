@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, recompression, repetition, sampled_pieces, secret_scan, suffix_dedup
+from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, ranked_search, recompression, repetition, sampled_pieces, secret_scan, suffix_dedup
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,6 +56,10 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_report(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.best_documents(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sampled_pieces": op8_sampled_pieces,
         "op9_recompression": op9_recompression,
         "op10_suffix_arrays": op10_suffix_arrays,
+        "op11_ranked_search": op11_ranked_search,
     }
 
 
@@ -78,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard_join.SQL,
         "op9_recompression": recompression.SQL,
         "op10_suffix_arrays": suffix_dedup.SQL,
+        "op11_ranked_search": ranked_search.SQL,
     }
