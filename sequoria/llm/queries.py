@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.llm import contamination, fuzzy_lines, jaccard_join, page_template, personal_data, ranked_search, recompression, repetition, sampled_pieces, secret_scan, suffix_dedup
+from sequoria.llm import contamination, divergence, fuzzy_lines, jaccard_join, page_template, personal_data, ranked_search, recompression, repetition, sampled_pieces, secret_scan, suffix_dedup, word_bpe
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -60,6 +60,14 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.best_documents(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(documents(spark, sf_dir))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -73,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_recompression": op9_recompression,
         "op10_suffix_arrays": op10_suffix_arrays,
         "op11_ranked_search": op11_ranked_search,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_word_bpe": op13_word_bpe,
     }
 
 
@@ -84,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_recompression": recompression.SQL,
         "op10_suffix_arrays": suffix_dedup.SQL,
         "op11_ranked_search": ranked_search.SQL,
+        "op12_source_divergence": divergence.SQL,
     }
