@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sequoria.operators import sessions as s
+from sequoria.operators.ids import with_dense_id
 from sequoria.sources.tables import written
 
 #: Lengths outside are not believed, in milliseconds.
@@ -130,24 +132,26 @@ def merged_votes(votes: DataFrame) -> DataFrame:
 
 
 def genre_vocab(artist_genres: DataFrame, min_artists: int = 5) -> DataFrame:
-    """(genre, artists, id from 1) of genres of ``min_artists`` artists, by count, then name; a vocabulary is small."""
+    """(genre, artists, id from 1) of genres of ``min_artists`` artists, by count, then name."""
     counts = artist_genres.select("artist", F.explode(F.array_distinct("genres")).alias("genre")).groupBy("genre").agg(F.count("*").alias("artists")).filter(F.col("artists") >= min_artists)
-    return counts.withColumn("id", F.row_number().over(Window.orderBy(F.desc("artists"), "genre")))
+    return with_dense_id(counts, -F.col("artists"), "genre", start=1).withColumn("id", F.col("id").cast("int"))
 
 
-def uniquely_assigned(items: DataFrame, most_rounds: int = 100) -> DataFrame:
+def uniquely_assigned(items: DataFrame) -> DataFrame:
     """``items`` (item, listens, option1, option2) with ``uri``: each option once, items with more listens choose first.
 
     Equal to the one-by-one rule. Items are settled in rounds: an item takes its first
     option that is not taken by a settled item if no unsettled item before it wants that
-    option at all; else it waits. A round is a few shuffles of the unsettled items.
+    option at all; else it waits. A round is a few shuffles of the unsettled items; the
+    first of them is always settled, so the rounds end. They are as many as the longest
+    chain of items that wait for each other.
     """
     order = F.struct(-F.col("listens"), F.col("item"))
     # a conflict needs an option that several items name; the others are settled at once
     options = F.array_compact(F.array("option1", "option2"))
     wide = items.withColumn("_rank", order)
     settled, open_items = None, wide
-    for _ in range(most_rounds):
+    for rounds in count(1):
         wants = open_items.select("item", "_rank", F.explode(options).alias("_o"))
         free = wants if settled is None else wants.join(settled.select(F.col("uri").alias("_o")).filter("_o IS NOT NULL"), "_o", "left_anti")
         first = free.groupBy("_o").agg(F.min_by("item", "_rank").alias("_first"))
@@ -161,10 +165,11 @@ def uniquely_assigned(items: DataFrame, most_rounds: int = 100) -> DataFrame:
         done = written(state.withColumn("uri", choice).withColumn("_done", choice.isNotNull() | (~one_free & ~two_free)).drop("_free"))
         now = done.filter("_done").drop("_done")
         settled = now if settled is None else settled.unionByName(now)
+        if rounds % 16 == 0:
+            settled = written(settled)
         open_items = done.filter("NOT _done").drop("_done", "uri")
         if open_items.isEmpty():
             return settled.drop("_rank")
-    raise RuntimeError(f"items did not settle in {most_rounds} rounds")
 
 
 def joining_items(outside: DataFrame, known_artists: DataFrame, taken: DataFrame, min_users: int = 3, most: int = 2000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sequoria.functions import arrays as a
+from sequoria.operators.ids import with_dense_id
 
 #: The rank of a target that is not in the list at all.
 MISSED = 1_000_000_000
@@ -14,11 +15,9 @@ RECALLS = (100, 500, 1000, 2000, 5000)
 
 
 def popularity_ranks(rows: DataFrame) -> DataFrame:
-    """(item, n, rank) by count, then id; ``n`` orders a global rank, so ranks are made from counts of counts."""
+    """(item, n, rank) by count, then id."""
     counts = rows.filter("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("n").agg(F.count("*").alias("_m"))  # as many rows as different counts
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    return counts.join(before, "n").select("item", "n", (F.col("_before") + F.row_number().over(Window.partitionBy("n").orderBy("item"))).alias("rank"))
+    return with_dense_id(counts, -F.col("n"), "item", name="rank", start=1).select("item", "n", "rank")
 
 
 def top_per_group(rows: DataFrame, keys: list[str], k: int, *order: Column | str) -> DataFrame:

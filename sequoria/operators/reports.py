@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sequoria.operators import sessions as s
 from sequoria.operators.ids import with_dense_id
+from sequoria.operators.quantiles import exact_quantiles
 
 
 def user_activity(listens: DataFrame, short: int = 30, ties: Sequence[str] = ("item",)) -> DataFrame:
@@ -43,13 +44,13 @@ def cap_table(activity: DataFrame, caps: Sequence[int]) -> DataFrame:
 
 def percentiles(rows: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
     """(point, value): exact, interpolated percentiles cut to whole numbers."""
-    found = rows.agg(F.percentile(value, F.array(*(F.lit(p) for p in points))).alias("_v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*(F.lit(p) for p in points)).alias("point"), F.col("_v").alias("value"))).alias("r")).select("r.point", F.col("r.value").cast("long").alias("value"))
+    return exact_quantiles(rows, value, points).select("point", F.col("value").cast("long").alias("value"))
 
 
 def quantile_cuts(rows: DataFrame, value: str, n: int) -> DataFrame:
     """One row with ``cuts``: ``n`` - 1 interpolated quantiles of the known (not 0) values."""
-    return rows.filter(F.col(value) > 0).agg(F.percentile(value, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("cuts"))
+    found = exact_quantiles(rows.filter(F.col(value) > 0), value, [i / n for i in range(1, n)])
+    return found.agg(F.transform(F.sort_array(F.collect_list(F.struct("point", "value"))), lambda x: x["value"]).alias("cuts"))
 
 
 def share_by_bucket(rows: DataFrame, bucket: Column, weight: Column) -> DataFrame:
@@ -60,8 +61,12 @@ def share_by_bucket(rows: DataFrame, bucket: Column, weight: Column) -> DataFram
 
 def latency_summary(calls: DataFrame, slow: float = 0.99) -> DataFrame:
     """(group, n, p50, p99, slow_n): percentiles of ``ms`` by group, and calls beyond the overall ``slow`` percentile."""
-    limit = calls.agg(F.percentile("ms", F.lit(slow)).alias("_limit"))
-    return calls.crossJoin(F.broadcast(limit)).groupBy("group").agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.99)).alias("p99"), F.sum((F.col("ms") > F.col("_limit")).cast("long")).alias("slow_n"))
+    limit = exact_quantiles(calls, "ms", [slow]).select(F.col("value").alias("_limit"))
+    by_group = exact_quantiles(calls, "ms", [0.5, 0.99], "group")
+    at = lambda p: F.max(F.when(F.col("point") == p, F.col("value")))
+    wide = by_group.groupBy("group").agg(at(0.5).alias("p50"), at(0.99).alias("p99"))
+    counted = calls.crossJoin(F.broadcast(limit)).groupBy("group").agg(F.count("*").alias("n"), F.sum((F.col("ms") > F.col("_limit")).cast("long")).alias("slow_n"))
+    return counted.join(wide, "group").select("group", "n", "p50", "p99", "slow_n")
 
 
 def interpolated(points: DataFrame, samples: DataFrame) -> DataFrame:

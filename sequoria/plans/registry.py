@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequoria.plans import sequence_plans, session_plans, table_plans, vector_plans
+from sequoria.plans import archive_plans, model_plans, sequence_plans, session_plans, table_plans, update_plans, vector_plans
 
-_MODULES = (session_plans, sequence_plans, vector_plans, table_plans)
+_MODULES = (session_plans, sequence_plans, vector_plans, table_plans, archive_plans, model_plans, update_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,7 +22,7 @@ ORDERS_A_SLICE, PLAYS_AN_EXPORT, SHARDS = 1000, 5000, 4
 UNTIL = i.START + 24 * 86_400
 
 
-def _folder(spark: SparkSession) -> str:
+def written_files(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/files/{uuid.uuid4().hex}"
 
 
@@ -41,13 +41,13 @@ def dump_months(spark, sf_dir):
 def lines_of_months(spark, sf_dir):
     """Lines written by month; a filter on year and month opens those folders only."""
     rows = i.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("line"))
-    path = _folder(spark)
+    path = written_files(spark)
     dumps.write_lines(rows.repartition("year", "month"), path)
     return spark.read.parquet(path).filter("year = 1995 AND month <= 6").select("year", "month", "line")
 
 
 def unpacked_lines(spark, sf_dir):
-    path = _folder(spark)
+    path = written_files(spark)
     i.table(spark, sf_dir, "customer").select(F.concat_ws("|", "c_custkey", "c_name")).write.text(path)
     part = F.split("line", r"\|")
     return dumps.text_lines(spark, path).select(part[0].cast("long").alias("key"), part[1].alias("name"))
@@ -55,9 +55,9 @@ def unpacked_lines(spark, sf_dir):
 
 def file_checksums(spark, sf_dir):
     """SHA-256 of files, one for each nation."""
-    path = _folder(spark)
+    path = written_files(spark)
     i.table(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"), F.col("n_nationkey").alias("nation")).write.partitionBy("nation").text(path)
-    return dumps.checksums(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "sha256")
+    return dumps.checksums(spark, path, ".txt").select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "sha256")
 
 
 def keyed_listens(spark, sf_dir):
@@ -78,7 +78,7 @@ def store_entries(spark, sf_dir):
     lists = rows.select("seq", track.alias("t")).groupBy("seq").agg(F.sort_array(F.collect_list("t")).alias("tracks"))
     lists = lists.select(F.floor(F.col("seq") / ORDERS_A_SLICE).alias("slice"), F.struct(text("List ", "seq").alias("name"), F.col("seq").alias("pid"), "tracks").alias("p"))
     slices = lists.groupBy("slice").agg(F.to_json(F.struct(F.collect_list("p").alias("playlists"))).alias("value")).select("value")
-    files, store = _folder(spark), _folder(spark)
+    files, store = written_files(spark), written_files(spark)
     _one_row_files(slices, files)
     playlists.write_store(playlists.playlist_entries(spark, files), store)
     part = lambda name: playlists.store_table(spark, store, name)
@@ -88,7 +88,7 @@ def store_entries(spark, sf_dir):
 
 
 def artist_genre_lines(spark, sf_dir):
-    path = _folder(spark)
+    path = written_files(spark)
     genre = lambda name, n: F.struct(name.alias("name"), F.lit(n).alias("count"))
     i.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("artist"), F.col("s_suppkey").cast("string").alias("mbid"), F.array(genre(F.concat(F.lit("z"), "s_nationkey"), 9), genre(F.concat(F.lit("a"), F.col("s_suppkey") % 5), 2)).alias("genres")).write.json(path)
     return playlists.artist_genres(spark, path).select("artist", "mbid", F.array_join("genres", ",").alias("genres"))
@@ -108,7 +108,7 @@ def voted_genres(spark, sf_dir):
 
 def linked_artists(spark, sf_dir):
     """Artists of a dump with links, of those that are wanted."""
-    path = _folder(spark)
+    path = written_files(spark)
     link = lambda host: F.struct(F.struct(F.concat(F.lit(f"https://{host}/"), "s_suppkey").alias("resource")).alias("url"))
     i.table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), "s_suppkey").alias("id"), F.array(F.struct(F.concat(F.lit("g"), "s_nationkey").alias("name"), F.lit(1).alias("count"))).alias("genres"), F.array(link("one.test"), link("two.test")).alias("relations")).write.json(path)
     wanted = i.table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("https://two.test/"), "s_suppkey").alias("link"))
@@ -117,7 +117,7 @@ def linked_artists(spark, sf_dir):
 
 def exported_plays(spark, sf_dir):
     """Listeners' exports, JSON arrays over several lines; rows without a track are left out."""
-    path = _folder(spark)
+    path = written_files(spark)
     row = F.struct(
         a.iso(F.col("sec")).alias("ts"), (F.col("item") * 100).alias("ms_played"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4 == 1).alias("skipped"),
         F.when(F.col("event_id") % 9 > 0, F.concat(F.lit("track:"), "item")).alias("spotify_track_uri"), F.concat(F.lit("Item "), "item").alias("master_metadata_track_name"), F.col("event_type").alias("master_metadata_album_artist_name"),
@@ -129,7 +129,7 @@ def exported_plays(spark, sf_dir):
 def snapshot_rows(spark, sf_dir):
     """A table of a base and its update."""
     rows = i.attributes(spark, sf_dir).select("item", "artist", "length_ms")
-    base, update = _folder(spark), _folder(spark)
+    base, update = written_files(spark), written_files(spark)
     version = snapshots.write_snapshot({"items": rows.filter("item % 3 > 0")}, base)
     snapshots.write_snapshot({"items": rows.filter("item % 3 = 0")}, update, version)
     return snapshots.snapshot_table(spark, [base, update], "items")
@@ -148,7 +148,7 @@ def equal_digests(spark, sf_dir):
 
 
 def rows_of_shards(spark, sf_dir):
-    path = _folder(spark)
+    path = written_files(spark)
     rows = i.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
     snapshots.write_sharded(rows, path, SHARDS)
     return snapshots.sharded_rows(spark, path, rows.filter("id % 7 = 0"), SHARDS)
@@ -157,7 +157,7 @@ def rows_of_shards(spark, sf_dir):
 def live_rows(spark, sf_dir):
     """The view after a switch to an update."""
     rows = i.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    base, update = _folder(spark), _folder(spark)
+    base, update = written_files(spark), written_files(spark)
     version = snapshots.write_snapshot({"suppliers": rows.filter("s_suppkey % 2 = 0")}, base)
     snapshots.write_snapshot({"suppliers": rows.filter("s_suppkey % 4 = 1")}, update, version)
     view = f"live_{uuid.uuid4().hex}"

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import io
-import re
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequoria.functions import listen_json as j
 from sequoria.functions import text as t
+from sequoria.sources import archives
 
-#: Lines in a batch of an archive's scan.
-LINES = 8192
-MONTH_NAME = r"(?:^|/)listens/(\d{4})/(\d{1,2})\.listens$"
 
 
 def month_of(name: Column) -> tuple[Column, Column]:
     """(year, month) of a file of the dump, null for others."""
-    part = lambda i: F.nullif(F.regexp_extract(name, MONTH_NAME, i), F.lit("")).cast("int")
+    part = lambda i: F.nullif(F.regexp_extract(name, archives.MONTH_NAME, i), F.lit("")).cast("int")
     return part(1), part(2)
 
 
@@ -32,46 +24,28 @@ def month_overlaps(year: Column, month: Column, start: int, end: int) -> Column:
     return (second(first) < end) & (second(F.add_months(first, 1)) > start)
 
 
-def archive_lines(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(year, month, line) of ``.tar.zst`` archives; months outside [start, end) are passed over.
+def archive_lines(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, verify: bool = False) -> DataFrame:
+    """(archive, started, ended, year, month, line) of the ``.tar.zst`` archives at ``path``, a task each.
 
-    An archive is one stream, so it is one task, in bounded memory; unpack it (``write_lines``)
+    Months outside [start, end) are passed over, and so are those that filters on year and
+    month exclude. ``started`` and ``ended`` are the archive's window of submission times,
+    null without one. With ``verify`` an archive must have the SHA-256 of the ``.sha256``
+    file beside it, if there is one. An archive is one stream; unpack it (``write_lines``)
     for anything that is read twice.
     """
+    return _archives(spark, path, start=start, end=end, verify=str(verify).lower())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            for content in batch.column("content"):
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_buffer())) as raw, tarfile.open(fileobj=raw, mode="r|") as archive:
-                    for member in archive:
-                        found = re.search(MONTH_NAME, member.name)
-                        if not found or not member.isfile() or not _month_wanted(int(found[1]), int(found[2]), start, end):
-                            continue
-                        lines: list[str] = []
-                        for line in archive.extractfile(member):
-                            lines.append(line.decode("utf-8", "replace").rstrip("\n"))
-                            if len(lines) == LINES:
-                                yield _lines(found, lines)
-                                lines = []
-                        if lines:
-                            yield _lines(found, lines)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "year int, month int, line string")
-
-
-def _lines(found: re.Match, lines: list[str]) -> pa.RecordBatch:
-    n = len(lines)
-    return pa.RecordBatch.from_arrays([pa.array([int(found[1])] * n, pa.int32()), pa.array([int(found[2])] * n, pa.int32()), pa.array(lines, pa.string())], ["year", "month", "line"])
 
+def _archives(spark: SparkSession, path: str, **options) -> DataFrame:
+    archives.register(spark)
+    return spark.read.format(archives.ArchiveSource.name()).options(**{k: v for k, v in options.items() if v is not None}).load(path)
 
-def _month_wanted(year: int, month: int, start: int | None, end: int | None) -> bool:
-    from calendar import timegm
 
-    first, after = timegm((year, month, 1, 0, 0, 0)), timegm((year + month // 12, month % 12 + 1, 1, 0, 0, 0))
-    return (end is None or first < end) and (start is None or after > start)
+def write_archives(lines: DataFrame, path: str, started: str | None = None, ended: str | None = None) -> None:
+    """Writes ``lines`` (year, month, line) as archives, one for each partition, months in order; with the window of submission times."""
+    archives.register(lines.sparkSession)
+    writer = lines.select("year", "month", "line").sortWithinPartitions("year", "month").write.format(archives.ArchiveSource.name()).mode("append")
+    writer.options(**{k: v for k, v in (("started", started), ("ended", ended)) if v is not None}).save(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -106,13 +80,13 @@ def keyed(rows: DataFrame) -> DataFrame:
     return t.with_song_keys(rows.filter("reason = 'kept'").drop("reason"), "first_artist", "title").filter("song_key NOT LIKE '|%' AND song_key NOT LIKE '%|'")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def checksums(spark: SparkSession, path: str, ending: str = "") -> DataFrame:
+    """(path, archive, sha256, expected) of the files at ``path`` with that ending; ``expected`` is from a ``.sha256`` file beside it, else null."""
+    return _archives(spark, path, what="checksums", ending=ending).filter("NOT endswith(archive, '.sha256')")
 
 
 def dump_windows(spark: SparkSession, path: str) -> DataFrame:
-    """(name, written) of the dumps in a folder, from their names (…-20250131-000003-…), for the ledger."""
-    stamp = F.regexp_extract("path", r"(\d{8}-\d{6})", 1)
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.filter(stamp != "").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.unix_seconds(F.to_timestamp(stamp, "yyyyMMdd-HHmmss")).alias("written"))
+    """(archive, started, ended, named) of the archives at ``path``: windows from their first members, of which only
+    those bytes are read, and the time in their names (...-20250131-000003-...); null where there is none."""
+    stamp = F.nullif(F.regexp_extract("archive", r"(\d{8}-\d{6})", 1), F.lit(""))
+    return _archives(spark, path, what="windows").withColumn("named", F.try_to_timestamp(stamp, F.lit("yyyyMMdd-HHmmss")))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from sequoria.operators import pairs as p
 from sequoria.operators import sessions as s
@@ -31,36 +32,80 @@ def live_counts(listens: DataFrame, late: str = "1 day", width: str = "1 day") -
 
 
 class Listeners(StatefulProcessor):
-    """Distinct users of a key within ``days``, state kept by user and dropped when it is older."""
+    """When a user begins and ends to count for a key: from a play until ``days`` after the last one.
 
-    def __init__(self, days: int = 30):
+    The state of a (key, user) is the span of its current activity, so a key's users are
+    spread and a batch costs as much as its rows. An end is told at once, for the day on
+    which it will come, and taken back if the user plays again before it. A timer clears
+    the state after that day.
+    """
+
+    def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", StructType([StructField("user", LongType())]), StructType([StructField("day", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        now = None
-        for part in rows:
-            for user, day in part.groupby("user")["day"].max().items():
-                old = self.last.getValue((int(user),)) if self.last.containsKey((int(user),)) else None
-                self.last.updateValue((int(user),), (max(int(day), old[0] if old else int(day)),))
-            now = int(part["day"].max()) if now is None else max(now, int(part["day"].max()))
-        old = [u for u, d in self.last.iterator() if d[0] <= now - self.days]
-        for u in old:
-            self.last.removeKey(u)
-        yield pd.DataFrame({"key": [key[0]], "day": [now], "listeners": [sum(1 for _ in self.last.keys())]})
+        self.handle = handle
+        self.span = handle.getValueState("span", StructType([StructField("first", LongType()), StructField("last", LongType())]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        played = sorted({int(d) for part in rows for d in part["day"]})
+        old = self.span.get() if self.span.exists() else None
+        first, last = (int(old[0]), int(old[1])) if old else (None, None)
+        out: list[tuple[int, int, bool]] = []
+        for day in played:
+            out.append((day, 0, True))
+            if last is None or day >= last + self.days:
+                out += [(day, 1, False), (day + self.days, -1, False)]
+                first = last = day
+            elif day > last:
+                out += [(last + self.days, 1, False), (day + self.days, -1, False)]
+                last = day
+            elif day < first:  # late, before the span: it counts until the span begins or on its own
+                out += [(day, 1, False), (min(day + self.days, first), -1, False)]
+                first = day if day + self.days >= first else first
+        if old is None or last != int(old[1]) or first != int(old[0]):
+            if old is not None:
+                self.handle.deleteTimer(self._end(int(old[1])))
+            self.span.update((first, last))
+            self.handle.registerTimer(self._end(last))
+        days, deltas, flags = zip(*out)
+        yield pd.DataFrame({"key": [key[0]] * len(out), "day": days, "delta": deltas, "played": flags})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.span.clear()
+        yield pd.DataFrame({"key": [], "day": [], "delta": [], "played": []}).astype({"day": "int64", "delta": "int64", "played": "bool"})
+
+    def _end(self, last: int) -> int:
+        return (last + self.days + 1) * 86_400_000
 
     def close(self) -> None:
         pass
 
 
-LISTENERS = StructType([StructField("key", StringType()), StructField("day", LongType()), StructField("listeners", LongType())])
+def live_listeners(listens: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+    """(key, day, delta, played) of each micro-batch: changes of a key's number of users by day (since 1970), and the days played.
+
+    ``listens``: key, user, ts (timestamp). Needs the RocksDB state store. See ``listeners_of``.
+    """
+    kind = listens.schema["key"].dataType
+    changes = StructType([StructField("key", kind), StructField("day", LongType()), StructField("delta", LongType()), StructField("played", BooleanType())])
+    dated = listens.withWatermark("ts", late).select("key", "user", "ts", F.unix_date(F.to_date("ts")).cast("long").alias("day"))
+    return dated.groupBy("key", "user").transformWithStateInPandas(Listeners(days), changes, "Append", "EventTime")
+
+
+def listeners_step(path: str) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch``: a batch's changes by key and day, under its batch id; a batch that is run again overwrites its own."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return step
 
 
-def live_listeners(listens: DataFrame, days: int = 30) -> DataFrame:
-    """(key, day, listeners) after each micro-batch, by the state store (needs the RocksDB provider). ``listens``: key, user, day."""
-    return listens.groupBy("key").transformWithStateInPandas(Listeners(days), LISTENERS, "Update", "none")
+def listeners_of(spark: SparkSession, path: str) -> DataFrame:
+    """(day, key, listeners): different users within ``days`` up to each day on which a key was played, from all batches so far."""
+    daily = spark.read.parquet(path).groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played"))
+    return daily.withColumn("listeners", F.sum("delta").over(Window.partitionBy("key").orderBy("day"))).filter("played").select("day", "key", "listeners")
 
 
 def dump_step(path: str, gap: int, min_length: int, window: int = p.WINDOW) -> Callable[[DataFrame, int], None]:

@@ -239,15 +239,20 @@ def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
     assert {tuple(r) for r in spark.table("live_sessions").collect()} == want
 
 
-def test_stream_listeners_keep_a_window_of_state(spark, tmp_path):
-    days = [[(0, "x", 1), (1, "x", 2)], [(5, "x", 1)], [(9, "x", 3), (9, "y", 1)]]
+def test_stream_listeners_by_changes(spark, tmp_path):
+    """Days of three batches; a user who plays on, one who lapses and comes back, and a late play."""
+    from datetime import UTC, datetime, timedelta
+
+    at = lambda day: datetime(2024, 1, 1, 12, tzinfo=UTC) + timedelta(days=day)
+    days = [[(0, "x", 1), (1, "x", 2), (1, "x", 2)], [(5, "x", 1), (4, "x", 1), (3, "z", 9)], [(9, "x", 3), (9, "y", 1), (6, "x", 2), (2, "z", 9)], [(30, "x", 1)], [(31, "x", 1)]]
     for k, rows in enumerate(days):
-        spark.createDataFrame(rows, "day long, key string, user long").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
-    stream = live.stream_of(spark, str(tmp_path / "in" / "*"), "day long, key string, user long")
-    query = live.live_listeners(stream, 5).writeStream.format("memory").queryName("live_listeners").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    query.awaitTermination()
-    got = [(r.key, r.day, r.listeners) for r in spark.table("live_listeners").collect()]
-    assert ("x", 1, 2) in got and ("x", 9, 2) in got and ("y", 9, 1) in got
+        spark.createDataFrame([(key, user, at(d)) for d, key, user in rows], "key string, user long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
+    stream = live.stream_of(spark, str(tmp_path / "in" / "*"), "key string, user long, ts timestamp")
+    live.run_available(live.live_listeners(stream, 5, "30 days"), live.listeners_step(str(tmp_path / "out")), str(tmp_path / "c"))
+    first = 19723
+    got = {(r.key, r.day - first): r.listeners for r in live.listeners_of(spark, str(tmp_path / "out")).collect()}
+    batch = spark.createDataFrame([(d, key, user) for rows in days for d, key, user in rows], "day long, key string, user long")
+    assert got == {(r.key, r.day): r.listeners for r in incremental.rolling_listeners(batch, 5).collect()}
 
 
 def test_stacked_notes_and_written_durations(spark):
