@@ -46,6 +46,70 @@ def test_all_slots_without_the_texts_of_the_template(spark):
         assert [x[:19] for x in got[i]] == [f"Title {i}", f"Lead of {i}", f"First paragraph {i} o", f"Second paragraph {i},"]
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>hello <span class='ad'>x</span> y</p>", "hello y"),
+        ("<p>see <em>x</em> this <button>b</button> end", "see x this end"),
+        ("<p>a <span class='ad'>x <span>y</span> z</span>b</p><p>c", "a b\nc"),
+        ("<p>one <span class='ad'>x</p><p>two", "one\ntwo"),
+        ("<div class='ad'><p>all there is</p></div>", "all there is"),
+        ("<div class='x1'><a href='/a'>Other story</a><a href='/b'>And more</a></div><div class='x2'><p>A story of <a href='/c'>two</a> worlds.</p><p><a href='/d'>Its source</a></p></div>", "A story of two worlds.\nIts source"),
+        ("<article><ul><li><a href='/a'>Only</a></li><li><a href='/b'>links</a></li></ul></article><div><p>no article</p></div>", "Only\nlinks"),
+        ("<ul><li><a href='/a'>Only</a><li><a href='/b'>links</a></ul>", "Only\nlinks"),
+    ],
+)
+def test_blocks_stay_whole_and_lists_of_links_go(page, text):
+    assert page_template.main_text(f"<body>{page}</body>", None) == text
+
+
+def test_menus_and_links_under_neutral_names(spark):
+    page = "<body><div class='a1'><a href='/%d'>Page %d</a><a href='/x'>Home</a></div><div class='b2'><h1>Story %d</h1><p>Words of story %d, which are its own, and many of them.</p></div><div class='c3'><a href='/z%d'>Another story %d</a></div></body>"
+    rows = [(i, f"https://n.org/{i}", page % (i, i, i, i, i, i)) for i in range(5)]
+    got = {r.page_id: r.text for r in page_template.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\nWords of story {i}, which are its own, and many of them." for i in range(5)}
+
+
+def test_an_article_keeps_a_headline_that_other_pages_have(spark):
+    page = "<body><nav>menu</nav><div class='ad'>buy %d</div><article><h1>%s</h1><p>The text of page %d begins here, with %d words.</p></article><footer>end</footer></body>"
+    heads = ["The same", "The same", "Another", "The same"]
+    rows = [(i, f"https://t.org/{i}", page % (i, h, i, i)) for i, h in enumerate(heads)]
+    got = {r.page_id: r.text for r in page_template.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{h}\nThe text of page {i} begins here, with {i} words." for i, h in enumerate(heads)}
+
+
+def test_classes_nest_and_crossing_ones_are_not_valid(spark):
+    t = lambda path, text="": page_template._token(bool(text), path, text)
+    page = "<body><div class='a'><p>x</p></div><div class='b'><div class='c'><p>y</p></div><div class='d'><p>z</p></div></div><div class='e'></div></body>"
+    outer, inner, a = [t("/body"), t("/body/div.b"), t("/body/div.e")], [t("/body/div.b/div.c"), t("/body/div.b/div.d")], [t("/body/div.a"), t("/body/div.a", "x")]
+    got = page_template.nesting(page, {**dict.fromkeys(outer, 1), **dict.fromkeys(inner, 2), **dict.fromkeys(a, 3)})
+    assert got[1][1:] == (0, 0) and got[2][1:] == (1, 2) and got[3][1:] == (1, 1) and got[1][0] == outer and got[2][0] == inner
+    crossing = page_template.nesting(page, {outer[1]: 1, inner[1]: 1, inner[0]: 2, outer[2]: 2})
+    assert sorted(x[-1] for x in crossing.values()) == [-1, 0]
+    # twice in one order, and in two orders
+    twice = "<body>" + "<div class='a'></div><div class='b'></div>" * 2
+    assert page_template.nesting(twice, {t("/body/div.a"): 1, t("/body/div.b"): 1})[1][0]
+    assert not page_template.nesting(twice + "<div class='b'></div><div class='a'></div>", {t("/body/div.a"): 1, t("/body/div.b"): 1})[1][0]
+    # tokens that change places from page to page form no valid class
+    swap = lambda i: "".join(f"<div class='{c}'><p>text {c}</p></div>" for c in ("pq" if i % 2 else "qp"))
+    rows = [(i, f"https://s.org/{i}", f"<body><div class='m'><h1>Head {i}</h1><div class='in'><p>long text of page {i} here</p></div></div>{swap(i)}</body>") for i in range(6)]
+    row = page_template.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).first()
+    assert row.n_tokens == 3 and row.slot == "/body/div.m/div.in"  # body, its container and the one inside it
+
+
+def test_nested_markup_takes_linear_time():
+    import time
+
+    def seconds(n, one):
+        began = time.perf_counter()
+        assert page_template.main_text(f"<body>{one * n}text" + "</div>" * n, None) == "text"
+        return time.perf_counter() - began
+
+    for one in ("<div>", "<div class='ad'>", "<div class='long name of a box'>"):
+        seconds(1000, one)
+        assert seconds(80_000, one) < 12 * max(seconds(20_000, one), 0.05)
+
+
 TEXTS = [None, "", " ", "Hello world, hello!", "é😀 ▁ literal\n\n  two  spaces \t tab", "x" * 3000, "\x00\x7f", "日本語 テキスト"]
 
 
