@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sequoria.functions import text as t
@@ -45,25 +45,38 @@ def starting_with(queries: DataFrame, items: DataFrame, limit: int, prefix: int
     return r.top_per_group(met.select("query", "id", "n").distinct(), ["query"], limit, F.desc("n"), "id")
 
 
-def typed(queries: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+def _deletions(word: Column, most: Column) -> Column:
+    """A word and what is left of it without one or two of its letters, as ``most`` (0, 1 or 2) allows: two words within
+    ``most`` insertions, deletions and changes of each other have one of these in common."""
+    without_one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    one = F.array_distinct(without_one(word))
+    two = F.array_distinct(F.flatten(F.transform(one, without_one)))
+    return F.array_distinct(F.when(most == 2, F.concat(F.array(word), one, two)).when(most == 1, F.concat(F.array(word), one)).otherwise(F.array(word)))
+
+
+def typed(queries: DataFrame, items: DataFrame, limit: int, prefix: int = 3) -> DataFrame:
     """(query, id, rank): typed words in any order over track and artist; the last may be unfinished.
 
     A word of 4 letters may have one error, one of 8 two. More words found come first, then
-    fewer errors, words of the track, popularity, id. A word meets the vocabulary, which is
-    small beside the items, on its first letter or its second with the first left out.
+    fewer errors, words of the track, popularity, id. A word meets the words of the
+    vocabulary that share a deletion with it, wherever its errors are, and an unfinished one
+    those of its beginning; no letter's words meet in one place.
     """
     words = queries.select("query", F.posexplode(t.name_words(F.col("key"))).alias("place", "word"))
     words = words.join(words.groupBy("query").agg(F.max("place").alias("_last")), "query")
     places = items.select("id", "n", F.explode(F.concat(F.transform(t.name_words(F.col("track")), lambda w: F.struct(w.alias("word"), F.lit(0).alias("field"))), F.transform(t.name_words(F.col("artist")), lambda w: F.struct(w.alias("word"), F.lit(1).alias("field"))))).alias("_w")).select("id", "n", "_w.*")
     vocabulary = places.select("word").distinct()
-    cells = lambda c: F.array_distinct(F.array(F.substring(c, 1, 1), F.substring(c, 2, 1)))
-    a = words.withColumn("_cell", F.explode(cells("word")))
-    b = vocabulary.select(F.col("word").alias("found"), F.explode(cells("word")).alias("_cell"))
     allowed = F.when(F.length("word") >= 8, 2).when(F.length("word") >= 4, 1).otherwise(0)
+    # a word of the vocabulary may be as much shorter as errors are allowed
+    reached = F.when(F.length("word") >= 6, 2).when(F.length("word") >= 3, 1).otherwise(0)
+    begin = lambda w, k: F.concat(F.lit("p"), k.cast("string"), F.lit(":"), F.substring(w, F.lit(1), k))
+    cells = lambda most: F.transform(_deletions(F.col("word"), most), lambda x: F.concat(F.lit("d:"), x))
+    unfinished = F.when(F.col("place") == F.col("_last"), F.array(begin(F.col("word"), F.least(F.length("word"), F.lit(prefix))))).otherwise(F.array().cast("array<string>"))
+    a = words.withColumn("_cell", F.explode(F.concat(cells(allowed), unfinished)))
+    b = vocabulary.select(F.col("word").alias("found"), F.explode(F.concat(cells(reached), F.array(*(begin(F.col("word"), F.lit(k)) for k in range(1, prefix + 1))))).alias("_cell"))
     begun = (F.col("place") == F.col("_last")) & F.startswith("found", "word")
-    errors = F.when(begun, 0).otherwise(F.levenshtein("word", "found"))
-    near = a.join(b, "_cell").filter(begun | ((F.abs(F.length("word") - F.length("found")) <= allowed) & (F.levenshtein("word", "found") <= allowed)))
-    near = near.groupBy("query", "place", "found").agg(F.min(errors).alias("errors"))
+    met = a.join(b, "_cell").select("query", "place", "_last", "word", "found").distinct()
+    near = met.withColumn("errors", F.when(begun, 0).otherwise(F.levenshtein("word", "found"))).filter(F.col("errors") <= allowed)
     hits = near.join(places.select("id", "n", "field", F.col("word").alias("found")), "found").groupBy("query", "id", "place").agg(F.min(F.struct("errors", "field")).alias("best"), F.max("n").alias("n"))
     scored = hits.groupBy("query", "id").agg(F.count("*").alias("words"), F.sum("best.errors").alias("errors"), F.sum("best.field").alias("fields"), F.max("n").alias("n"))
     return r.top_per_group(scored, ["query"], limit, F.desc("words"), "errors", "fields", F.desc("n"), "id").select("query", "id", "rank")

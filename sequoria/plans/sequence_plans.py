@@ -331,4 +331,21 @@ SQL = {
         t AS (SELECT * FROM o ORDER BY users DESC, key LIMIT 500) SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY track ORDER BY users DESC, key) = 1""",
     "resolved_names": f"WITH {_SPLIT}, m AS (SELECT query, id, n, 0 AS how FROM sp JOIN n USING (track, artist) UNION ALL SELECT query, id, n, 1 FROM q JOIN n ON n.track = query) SELECT query, id FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY how, n DESC, id) = 1",
     "names_starting": f"WITH {_SPLIT}, m AS (SELECT query, id, n FROM q JOIN n ON starts_with(track, query) OR starts_with(artist, query) UNION SELECT query, id, n FROM sp JOIN n ON starts_with(n.track, sp.track) AND starts_with(n.artist, sp.artist)) SELECT query, id, n, row_number() OVER (PARTITION BY query ORDER BY n DESC, id) AS rank FROM m QUALIFY rank <= 10",
+    "history_features": f"""WITH {i.CONTEXTS}, {i.PAIRS}, att AS (SELECT p_partkey AS item, p_brand AS artist, p_type AS album, string_split(p_name, ' ') AS genres FROM part),
+        o AS (SELECT d."case", d.item, x.artist = y.artist AS ar, x.album = y.album AS al, list_transform(x.genres, lambda g: list_contains(y.genres, g)::INT) AS ge FROM d JOIN c ON c."case" = d."case" JOIN att x ON x.item = d.item JOIN att y ON y.item = c.item),
+        ov AS (SELECT "case", item, avg(ar::INT) AS ar, avg(al::INT) AS al, avg(list_avg(ge)) AS ge FROM o GROUP BY ALL), j AS (SELECT d."case", d.item, coalesce(pc.n, 0) AS n FROM d JOIN c ON c."case" = d."case" LEFT JOIN pc ON pc.a = c.item AND pc.b = d.item), ca AS (SELECT "case", item, ln(1 + sum(n)) AS la, avg((n > 0)::INT) AS wp FROM j GROUP BY ALL), sz AS (SELECT "case", max(n_items) AS n FROM c GROUP BY ALL)
+        SELECT "case", item, round(ar, 9) AS history_same_artist, round(al, 9) AS history_same_album, round(ge, 9) AS history_genre_match, round(la, 9) AS history_log_after, round(wp, 9) AS history_with_pair, round(ln(1 + n), 9) AS history_log_length FROM ov JOIN ca USING ("case", item) JOIN sz USING ("case")""",
+    "unique_assignment": f"""WITH RECURSIVE {i.PLAYLISTS}, x AS (SELECT item, 'slot:' || (item * 7) % 1511 AS o1, 'slot:' || (item * 31) % 1511 AS o2, row_number() OVER (ORDER BY count(*) DESC, item) AS rn FROM p GROUP BY item),
+        u AS (SELECT 0::BIGINT AS rn, -1::BIGINT AS item, NULL::VARCHAR AS uri, []::VARCHAR[] AS taken UNION ALL SELECT x.rn, x.item, c.uri, CASE WHEN c.uri IS NULL THEN taken ELSE list_append(taken, c.uri) END FROM u JOIN x ON x.rn = u.rn + 1, LATERAL (SELECT CASE WHEN NOT list_contains(taken, o1) THEN o1 WHEN NOT list_contains(taken, o2) THEN o2 END AS uri) c)
+        SELECT item, uri FROM u WHERE rn > 0""",
+    "typed_names": f"""WITH q AS (SELECT unnest({list(_TYPED)}) AS query), n AS (SELECT p_partkey AS id, lower(p_name) AS track, lower(p_brand) AS artist, n FROM part JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+        w AS (SELECT query, unnest(ws) AS word, unnest(range(len(ws))) AS place, len(ws) - 1 AS last FROM (SELECT query, regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM q)),
+        f AS (SELECT id, n, unnest(regexp_extract_all(track, '[\\p{{L}}\\p{{N}}_]+')) AS found, 0 AS field FROM n UNION ALL SELECT id, n, unnest(regexp_extract_all(artist, '[\\p{{L}}\\p{{N}}_]+')), 1 FROM n),
+        e AS (SELECT query, place, word, found, CASE WHEN place = last AND starts_with(found, word) THEN 0 ELSE levenshtein(word, found) END AS errors FROM w, (SELECT DISTINCT found FROM f)),
+        h AS (SELECT query, id, place, min(errors * 10 + field) AS best, max(n) AS n FROM e JOIN f USING (found) WHERE errors <= CASE WHEN length(word) >= 8 THEN 2 WHEN length(word) >= 4 THEN 1 ELSE 0 END GROUP BY ALL),
+        s AS (SELECT query, id, count(*) AS words, sum(best // 10) AS errors, sum(best % 10) AS fields, max(n) AS n FROM h GROUP BY ALL)
+        SELECT query, id, (row_number() OVER (PARTITION BY query ORDER BY words DESC, errors, fields, n DESC, id))::INTEGER AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY words DESC, errors, fields, n DESC, id) <= 10""",
+    "interpolated_counters": """WITH s AS (SELECT o_custkey AS series, date_diff('day', TIMESTAMP '1990-01-01', o_orderdate::TIMESTAMP)::DOUBLE AS t, max(o_totalprice) AS value FROM orders GROUP BY ALL), p AS (SELECT DISTINCT series - 1 AS series, t FROM s),
+        b AS (SELECT p.series, p.t, s.t AS bt, s.value AS bv FROM p ASOF LEFT JOIN s ON p.series = s.series AND p.t >= s.t), x AS (SELECT b.*, s.t AS a_t, s.value AS av FROM b ASOF LEFT JOIN s ON b.series = s.series AND b.t <= s.t)
+        SELECT series, t, round(coalesce(bv + (av - bv) * (t - bt) / nullif(a_t - bt, 0), bv, av), 6) AS value FROM x WHERE bv IS NOT NULL OR av IS NOT NULL""",
 }

@@ -247,4 +247,9 @@ SQL = {
         p AS (SELECT dump, "user", session, item, row_number() OVER (PARTITION BY dump, "user", session ORDER BY sec, item) AS pos FROM ke)
         SELECT x.item AS a, y.item AS b, count(*) AS n FROM p x JOIN p y ON x.dump = y.dump AND x."user" = y."user" AND x.session = y.session AND y.pos BETWEEN x.pos + 1 AND x.pos + 5 GROUP BY ALL""",
     "user_split": "WITH n AS (SELECT count(DISTINCT user_id) AS n FROM events), e AS (SELECT n, round(n * 0.64) AS a, round(n * 0.8) AS b, round(n * 0.9) AS c FROM n) SELECT unnest(['train', 'validation', 'ranker', 'test']) AS split, unnest([a, b - a, c - b, n - c])::BIGINT AS n FROM e",
+    "chained_dumps": f"""WITH RECURSIVE {i.LISTENS}, w AS (SELECT 'whole ' || lpad((event_id // 500)::VARCHAR, 6, '0') AS name, min(sec)::DOUBLE AS start, max(sec)::DOUBLE AS "end" FROM l GROUP BY event_id // 500 UNION ALL SELECT 'half ' || lpad((event_id // 500)::VARCHAR, 6, '0'), min(sec)::DOUBLE, max(sec)::DOUBLE FROM l WHERE event_id % 500 >= 250 GROUP BY event_id // 500),
+        o AS (SELECT *, row_number() OVER (ORDER BY start, "end", name) AS rn FROM w),
+        c AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS name, NULL::DOUBLE AS start, NULL::DOUBLE AS "end", NULL::VARCHAR AS status, NULL::DOUBLE AS gap_from, NULL::DOUBLE AS upto
+          UNION ALL SELECT o.rn, o.name, o.start, o."end", CASE WHEN o.start < upto - 1 THEN 'skipped' ELSE 'used' END, CASE WHEN o.start > upto + 1 THEN upto END, CASE WHEN o.start < upto - 1 THEN upto ELSE o."end" END FROM c JOIN o ON o.rn = c.rn + 1)
+        SELECT name, start, "end", status, gap_from FROM c WHERE rn > 0""",
 }

@@ -336,7 +336,7 @@ SQL = {
     "exported_plays": f"WITH {i.LISTENS} SELECT sec, item * 100 AS ms_played, event_id % 4 = 1 AS skipped, 'track:' || item AS uri, 'Item ' || item AS title, event_type AS artist FROM l WHERE event_id % 9 > 0",
     "snapshot_rows": f"WITH {_ITEMS} SELECT item, artist, length_ms FROM it",
     "manifest_version": "SELECT substr(sha256(string_agg(n_name || ' ' || sha256(n_nationkey::VARCHAR) || chr(10), '' ORDER BY n_name)), 1, 12) AS version, count(*) AS files FROM nation",
-    "equal_digests": "SELECT true AS dealt_anew, false AS a_row_less",
+    "equal_digests": "SELECT count(DISTINCT p_partkey) = count(*) AS dealt_anew, count(*) FILTER (p_partkey > 0) = count(*) AS a_row_less FROM part",
     "rows_of_shards": "SELECT p_partkey AS id, p_name FROM part WHERE p_partkey % 7 = 0",
     "live_rows": "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 4 = 1",
     "version_lineage": "WITH RECURSIVE u AS (SELECT 21 AS v, 0 AS depth UNION ALL SELECT v // 2, depth + 1 FROM u WHERE v > 0) SELECT v::VARCHAR AS version, CASE WHEN v > 0 THEN (v // 2)::VARCHAR END AS parent, depth FROM u",
@@ -364,6 +364,6 @@ SQL = {
     "new_finds": f"""WITH {i.LISTENS}, x AS (SELECT DISTINCT "user", item FROM l WHERE sec < {i.START + 15 * 86_400}), h AS (SELECT DISTINCT "user", item FROM l WHERE sec >= {i.START + 15 * 86_400}), k AS (SELECT DISTINCT "user", item FROM l WHERE event_id % 3 = 0)
         SELECT x."user", round(avg((k.item IS NULL)::INT), 9) AS new_share, round(100 * avg((k.item IS NULL AND h.item IS NOT NULL)::INT), 9) AS finds_per_100 FROM x LEFT JOIN h USING ("user", item) LEFT JOIN k USING ("user", item) GROUP BY x."user\"""",
     "most_played": f"WITH {i.PLAYLISTS} SELECT item AS id, count(*) AS n FROM p GROUP BY item ORDER BY n DESC, id LIMIT 50",
-    "disjoint_samples": "SELECT 50 AS one, 70 AS two, 0 AS common",
+    "disjoint_samples": "SELECT least(50, count(*)) AS one, least(70, greatest(count(*) - 50, 0)) AS two, count(*) - count(DISTINCT p_partkey) AS common FROM part",
     "reranked_lists": f'WITH {i.PLAYLISTS} SELECT seq AS "case", item, item % 3 AS score, row_number() OVER (PARTITION BY seq ORDER BY item % 3 DESC, pos) AS rank FROM p',
 }

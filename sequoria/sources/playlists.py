@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sequoria.operators.ids import with_dense_id
 
@@ -13,8 +12,8 @@ SLICE = f"struct<playlists:array<struct<name:string,pid:long,tracks:array<{_TRAC
 
 
 def playlist_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(file, playlist, name, pos, track_uri, ...) of slices; ``file`` and ``playlist`` give the order: files by name, playlists by place."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", SLICE).alias("s"))
+    """(file, playlist, name, pos, track_uri, ...) of slices; ``file`` is a path, so slices of one name in two folders stay apart."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", SLICE).alias("s"))
     lists = files.select("file", F.posexplode("s.playlists").alias("playlist", "p"))
     return lists.select("file", "playlist", F.col("p.name").alias("name"), F.posexplode("p.tracks").alias("place", "t")).select("file", "playlist", "name", F.col("place").alias("pos"), *(F.col(f"t.{c}").alias(c) for c in ("track_name", "track_uri", "artist_name", "artist_uri", "album_name", "album_uri", "duration_ms")))
 
@@ -22,9 +21,9 @@ def playlist_entries(spark: SparkSession, path: str) -> DataFrame:
 def write_store(entries: DataFrame, path: str) -> None:
     """A store: ``tracks``, ``artists`` and ``albums`` by id in order of first appearance, ``entries`` (playlist, pos, track).
 
-    The first record of a key gives its attributes; ``conflicts`` in ``tracks`` counts other ones.
+    The order is that of files by name (then path), playlists and places in them. The first record of a key gives its attributes; ``conflicts`` in ``tracks`` counts other ones.
     """
-    ordered = entries.join(_file_numbers(entries), "file").withColumn("_order", F.col("_file") * 1e12 + F.col("playlist") * 1e5 + F.col("pos"))
+    ordered = entries.withColumn("_order", F.struct(F.element_at(F.split("file", "/"), -1), "file", "playlist", "pos"))
     first = lambda c: F.min_by(c, "_order").alias(c)
     attributes = ("track_name", "artist_name", "artist_uri", "album_name", "album_uri", "duration_ms")
     tracks = ordered.groupBy("track_uri").agg(F.min("_order").alias("_first"), (F.count_distinct(F.struct(*attributes)) - 1).alias("conflicts"), *map(first, attributes))
@@ -40,11 +39,6 @@ def write_store(entries: DataFrame, path: str) -> None:
         table.write.parquet(f"{path}/{name}")
 
 
-def _file_numbers(entries: DataFrame) -> DataFrame:
-    """(file, _file): files in order of their names; a table of one row for each slice file."""
-    return entries.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)
-
-
 def store_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
