@@ -1,4 +1,9 @@
-"""Secret scans: known shapes, and a randomness test battery for the rest. DataFrame functions only."""
+"""Secret scans: known shapes, and a randomness test battery for the rest. DataFrame functions only.
+
+A long unbroken string is a discovery if no test of the battery rejects that its encoding's
+symbols are random, and if its symbol counts and runs are so unlike text that
+false-discovery control over the text passes it.
+"""
 
 from __future__ import annotations
 
@@ -23,23 +28,24 @@ ENCODINGS = {
     "hex": _DIGITS + "abcdef",
     "upper_hex": _DIGITS + "ABCDEF",
     "base32": _UPPER + "234567",
+    "base36": _DIGITS + _LOWER,
+    "upper_base36": _DIGITS + _UPPER,
     "alphanumeric": _UPPER + _LOWER + _DIGITS,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
     "base64url": _UPPER + _LOWER + _DIGITS + "-_",
 }
-#: Character classes change with this probability from one character of prose, of an identifier or of a path to the next.
-TEXT_CHANGE = 0.08
+#: Shares of a-z in text, in parts of 10,000: rounded averages of languages in Latin script. A text's own letters count beside PRIOR_LETTERS of these.
+TEXT_LETTERS = (850, 130, 330, 400, 1350, 150, 170, 350, 750, 20, 60, 430, 260, 760, 680, 230, 30, 680, 680, 750, 350, 100, 110, 20, 120, 40)
+PRIOR_LETTERS = 300
+#: How names, paths and identifiers go on: shares of lower case, upper case, digits and other characters after one of each.
+TEXT_STEPS = {"l": (0.88, 0.04, 0.03, 0.05), "u": (0.45, 0.45, 0.05, 0.05), "d": (0.1, 0.1, 0.6, 0.2), "o": (0.5, 0.25, 0.2, 0.05)}
+_CLASSES = "ludo"
 #: A string that a test of the battery rejects at this level is not random.
 BATTERY_LEVEL = 0.01
 #: Expected share of false discoveries among the strings reported of a text.
 FALSE_DISCOVERY = 0.01
 
 
-def _class_change(alphabet: str) -> float:
-    shares = [sum(c in k for c in alphabet) / len(alphabet) for k in (_LOWER, _UPPER, _DIGITS, "+/", "-_")]
-    return 1 - sum(x * x for x in shares)
-
-
 def _two_sided(z: Column) -> Column:
     """P(|Z| >= |z|) of a normal Z, by a logistic approximation (error below 0.0002)."""
     z = F.least(F.abs(z), F.lit(12.0))
@@ -50,61 +56,88 @@ def _count(text: Column, part: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
 
 
-def battery(value: Column, alphabet: str) -> Column:
-    """P-value of ``value`` under the hypothesis that it is uniform over ``alphabet``.
+def encoding(value: Column) -> Column:
+    """The smallest alphabet that holds ``value``, null if none does."""
+    out = F.lit(None).cast("string")
+    for alphabet in reversed(sorted(ENCODINGS.values(), key=len)):
+        out = F.when(F.translate(value, alphabet, "") == "", alphabet).otherwise(out)
+    return out
+
+
+def battery(value: Column, alphabet: Column) -> Column:
+    """P-value of ``value`` under the hypothesis that it is uniform over ``alphabet``: what a discovery must not be too small in.
 
     The smallest of three tests times three: chi-squared of the symbol counts
     (Wilson-Hilferty), runs above and below the middle of the alphabet, and the
     lag-1 serial correlation of the symbols' numbers.
     """
-    m, n = len(alphabet), F.length(value).cast("double")
-    squares = sum((F.pow(_count(value, c), F.lit(2)) for c in alphabet), F.lit(0.0))
+    m, n = F.length(alphabet), F.length(value).cast("double")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    squares = total(F.transform(F.split(alphabet, ""), lambda c: F.pow(n - F.length(F.replace(value, c, F.lit(""))), F.lit(2.0))))
     df = m - 1.0
-    z_chi = (F.cbrt((squares * m / n - n) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    z_chi = (F.cbrt((squares * m / n - n) / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     p_chi = F.when(z_chi > 0, _two_sided(z_chi) / 2).otherwise(F.lit(0.5))
-    half = F.translate(value, alphabet, "0" * (m // 2) + "1" * (m - m // 2))
+    low = F.floor(m / 2).cast("int")
+    half = F.call_function("translate", value, alphabet, F.concat(F.repeat(F.lit("0"), low), F.repeat(F.lit("1"), m - low)))
     ones = _count(half, "1")
     both = 2 * ones * (n - ones)
     runs = 1 + _count(half, "01") + _count(half, "10")
     variance = both * (both - n) / (n * n * (n - 1))
     p_runs = F.when(variance > 0, _two_sided((runs - 1 - both / n) / F.sqrt(variance))).otherwise(F.lit(0.0))
-    middle = (m - 1) / 2
-    numbers = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1.0 - middle)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    numbers = F.transform(F.split(value, ""), lambda c: F.instr(alphabet, c) - 1.0 - (m - 1) / 2)
     products = F.zip_with(F.slice(numbers, 1, F.length(value) - 1), F.slice(numbers, 2, F.length(value)), lambda x, y: x * y)
     p_serial = _two_sided(total(products) / F.greatest(total(F.transform(numbers, lambda x: x * x)), F.lit(1e-9)) * F.sqrt(n))
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
-def text_p_value(value: Column, alphabet: str) -> Column:
-    """An upper bound of the chance that text changes character classes this often.
+def _once(value: Column, use) -> Column:
+    """``use`` of ``value``, which is made once however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    The likelihood ratio of the changes under text and under the encoding; by Markov's
-    inequality it is a p-value for any length.
+def letter_logs(text: Column) -> Column:
+    """Logarithms of the shares of a-z in a text without its candidates, with PRIOR_LETTERS of the fixed shares added."""
+    count = lambda plain: F.transform(F.array(*map(F.lit, _LOWER)), lambda c: F.length(plain) - F.length(F.replace(plain, c, F.lit(""))))
+    prior = F.array(*(F.lit(x / sum(TEXT_LETTERS) * PRIOR_LETTERS) for x in TEXT_LETTERS))
+    added = _once(_once(F.lower(F.regexp_replace(text, CANDIDATE, " ")), count), lambda counts: F.zip_with(counts, prior, lambda n, x: n + x))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    return _once(F.struct(added.alias("n")), lambda x: _once(F.struct(x["n"].alias("n"), total(x["n"]).alias("total")), lambda y: F.transform(y["n"], lambda n: F.log(n / y["total"]))))
+
+
+def text_log(value: Column, logs: Column) -> Column:
+    """Logarithm of the chance of ``value`` as text: its symbol counts by the text's own letters, its runs of classes by TEXT_STEPS."""
+    symbol = lambda c: F.coalesce(F.get(logs, F.instr(F.lit(_LOWER), F.lower(c)) - 1), F.when(c.rlike("[0-9]"), math.log(0.1)).otherwise(math.log(0.25)))
+    symbols = F.aggregate(F.split(value, ""), F.lit(0.0), lambda acc, c: acc + symbol(c))
+    kinds = F.split(F.translate(value, _LOWER + _UPPER + _DIGITS + "+/_-", "l" * 26 + "u" * 26 + "d" * 10 + "o" * 4), "")
+    steps = F.create_map(*(F.lit(x) for a, shares in TEXT_STEPS.items() for b, share in zip(_CLASSES, shares) for x in (a + b, math.log(share))))
+    pairs = F.zip_with(F.slice(kinds, 1, F.length(value) - 1), F.slice(kinds, 2, F.length(value)), lambda a, b: F.element_at(steps, F.concat(a, b)))
+    runs = F.aggregate(pairs, F.lit(math.log(0.25)), lambda acc, x: acc + x)
+    return symbols + runs
+
+
+def p_value(value: Column, alphabet: Column, logs: Column) -> Column:
+    """The p-value of a candidate as a discovery, against text; 1 where the battery rejects randomness or ``alphabet`` is null.
+
+    ``alphabet`` is its ``encoding``. The likelihood of its symbols and runs as text, over
+    that of the encoding's uniform symbols, bounds the chance of text that looks so by
+    Markov's inequality, at any length; the choice among the encodings counts as so many
+    tests.
     """
-    n = F.length(value) - 1
-    change = F.length(F.regexp_replace(value, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[+/])(?=[^+/])|(?<=[_-])(?=[^_-])", " ")) - n - 1
-    rate = _class_change(alphabet)
-    ratio = change * math.log(rate / TEXT_CHANGE) + (n - change) * math.log((1 - rate) / (1 - TEXT_CHANGE))
-    return F.exp(-F.greatest(F.least(ratio, F.lit(600.0)), F.lit(0.0)))
-
-
-def _p_value(value: Column) -> Column:
-    """The p-value of a candidate as a discovery; 1 where the battery rejects randomness."""
-    out = F.lit(1.0)
-    for alphabet in reversed(ENCODINGS.values()):
-        judged = F.when(battery(value, alphabet) >= BATTERY_LEVEL, text_p_value(value, alphabet)).otherwise(F.lit(1.0))
-        out = F.when(F.translate(value, alphabet, "") == "", judged).otherwise(out)
-    return out
+    ratio = text_log(value, logs) + F.length(value) * F.log(F.length(alphabet).cast("double")) + math.log(len(ENCODINGS))
+    return F.when(battery(value, alphabet) >= BATTERY_LEVEL, F.exp(F.greatest(F.least(ratio, F.lit(0.0)), F.lit(-600.0)))).otherwise(F.lit(1.0))
 
 
 def discoveries(text: Column, candidates: Column) -> Column:
     """The candidates that pass Benjamini-Hochberg; the number of tests grows with the text's length."""
-    scored = F.transform(candidates, lambda c: F.struct(_p_value(c["value"]).alias("p"), c.alias("span")))
-    tests = F.greatest(F.size(candidates), (F.length(text) / 20).cast("int"))
-    likely = F.sort_array(F.filter(scored, lambda c: c["p"] < FALSE_DISCOVERY))
-    passed = F.transform(likely, lambda c, i: F.when(c["p"] * tests <= FALSE_DISCOVERY * (i + 1), i + 1).otherwise(F.lit(0)))
-    return F.transform(F.slice(likely, 1, F.coalesce(F.array_max(passed), F.lit(0))), lambda c: c["span"])
+    told = F.transform(candidates, lambda c: F.struct(encoding(c["value"]).alias("alphabet"), c.alias("span")))
+    scored = lambda logs: F.transform(told, lambda c: F.struct(p_value(c["span"]["value"], c["alphabet"], logs).alias("p"), c["span"].alias("span")))
+    likely = F.sort_array(F.filter(_once(letter_logs(text), scored), lambda c: c["p"] < FALSE_DISCOVERY))
+
+    def passed(x: Column) -> Column:
+        places = F.transform(x["likely"], lambda c, i: F.when(c["p"] * x["tests"] <= FALSE_DISCOVERY * (i + 1), i + 1).otherwise(F.lit(0)))
+        return F.transform(F.slice(x["likely"], 1, F.coalesce(F.array_max(places), F.lit(0))), lambda c: c["span"])
+
+    return _once(F.struct(likely.alias("likely"), F.greatest(F.size(candidates), (F.length(text) / 20).cast("int")).alias("tests")), passed)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -118,13 +151,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     value = lambda v: F.regexp_extract(v, f"^[A-Za-z_]+{_SEP}({_VALUE})$", 1)
     always = lambda v: F.lit(True)
     base = F.concat(s.matches(text, "assign", 0, ASSIGN, lambda v: F.length(value(v)) >= 6), s.matches(text, "access", 1, ACCESS, always), s.matches(text, "hex", 2, HEX, always))
-    candidates = F.filter(F.col("candidates"), lambda c: ~F.exists(F.col("base"), lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"])))
-    return (
-        docs.select("doc_id", text.alias("text"))
-        .withColumns({"base": base, "candidates": s.matches(F.col("text"), "random", 3, CANDIDATE, always)})
-        .withColumn("candidates", F.when(F.size("candidates") > 0, candidates).otherwise(F.col("candidates")))
-        .select("doc_id", "text", "base", F.when(F.size("candidates") > 0, discoveries(F.col("text"), F.col("candidates"))).otherwise(F.col("candidates")).alias("found"))
-    )
+    free = lambda base: F.filter(s.matches(F.col("text"), "random", 3, CANDIDATE, always), lambda c: ~F.exists(base, lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"])))
+    found = _once(_once(F.col("base"), free), lambda c: F.when(F.size(c) > 0, discoveries(F.col("text"), c)).otherwise(c))
+    return docs.select("doc_id", text.alias("text")).withColumn("base", base).select("doc_id", "text", "base", found.alias("found"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
