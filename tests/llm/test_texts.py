@@ -258,6 +258,22 @@ def test_lines_that_share_a_common_passage(spark):
     assert told == {False}
 
 
+@pytest.mark.parametrize("others", [100, 400])
+def test_changed_letters_beside_a_common_passage(spark, others):
+    """Pairs of lines with 30 words of a common passage and 24 of their own, every third of which is changed by a letter:
+    the second one goes whether few or many other lines have the passage."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(4, 9)))
+    passage = [word() for _ in range(30)]
+    rows = [(k, " ".join(passage + [word() for _ in range(24)])) for k in range(others)]
+    changed = lambda w, at: w[:at] + chr(97 + (ord(w[at]) - 96) % 26) + w[at + 1 :]
+    for k in range(20):
+        own = [word() for _ in range(24)]
+        rows += [(10_000 + 2 * k, " ".join(passage + own)), (10_001 + 2 * k, " ".join(passage + [changed(w, len(w) // 2) if i % 3 == 0 else w for i, w in enumerate(own)]))]
+    found = {r.doc_id for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {10_001 + 2 * k for k in range(20)}
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     rows = [(0, "版权所有保留一切权利未经许可不得转载\nPrivacy policy"), (1, "版权所有保留一切权利未经许可不得转截\nPRIVACY policy!"), (2, "今天天气很好我们去公园散步吧\nshort line"), (3, "สงวนลิขสิทธิ์ตามกฎหมาย\nshort line"), (4, "สงวนลิขสิทธิ์ตามกฎหมาย\nPrivacy")]
     found = {(r.doc_id, r.line_no) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
