@@ -267,7 +267,7 @@ def interpolated_counters(spark, sf_dir):
     orders = i.table(spark, sf_dir, "orders").select(F.col("o_custkey"), F.expr("timestampdiff(DAY, TIMESTAMP_NTZ '1990-01-01 00:00:00', o_orderdate)").cast("double").alias("t"), "o_totalprice")
     samples = orders.groupBy(F.col("o_custkey").alias("series"), "t").agg(F.max("o_totalprice").alias("value"))
     points = orders.select((F.col("o_custkey") - 1).alias("series"), "t").distinct()
-    return reports.interpolated(points, samples).filter("value IS NOT NULL").withColumn("value", F.round("value", 6))
+    return reports.interpolated(points, samples).filter("value IS NOT NULL")
 
 
 QUERIES = {
@@ -347,5 +347,5 @@ SQL = {
         SELECT query, id, (row_number() OVER (PARTITION BY query ORDER BY words DESC, errors, fields, n DESC, id))::INTEGER AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY words DESC, errors, fields, n DESC, id) <= 10""",
     "interpolated_counters": """WITH s AS (SELECT o_custkey AS series, date_diff('day', TIMESTAMP '1990-01-01', o_orderdate::TIMESTAMP)::DOUBLE AS t, max(o_totalprice) AS value FROM orders GROUP BY ALL), p AS (SELECT DISTINCT series - 1 AS series, t FROM s),
         b AS (SELECT p.series, p.t, s.t AS bt, s.value AS bv FROM p ASOF LEFT JOIN s ON p.series = s.series AND p.t >= s.t), x AS (SELECT b.*, s.t AS a_t, s.value AS av FROM b ASOF LEFT JOIN s ON b.series = s.series AND b.t <= s.t)
-        SELECT series, t, round(coalesce(bv + (av - bv) * (t - bt) / nullif(a_t - bt, 0), bv, av), 6) AS value FROM x WHERE bv IS NOT NULL OR av IS NOT NULL""",
+        SELECT series, t, coalesce(bv + (av - bv) * (t - bt) / nullif(a_t - bt, 0), bv, av) AS value FROM x WHERE bv IS NOT NULL OR av IS NOT NULL""",
 }
