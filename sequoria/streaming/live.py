@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sequoria.operators import pairs as p
@@ -31,80 +27,54 @@ def live_counts(listens: DataFrame, late: str = "1 day", width: str = "1 day") -
     return listens.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "item").agg(F.count("*").alias("n")).select(F.col("w.start").alias("begin"), "item", "n")
 
 
-class Listeners(StatefulProcessor):
-    """When a user begins and ends to count for a key: from a play until ``days`` after the last one.
+def live_listeners(listens: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+    """(key, user, day, days) of each micro-batch: the days (since 1970) on which a user played. See ``listeners_step``.
 
-    The state of a (key, user) is the span of its current activity, so a key's users are
-    spread and a batch costs as much as its rows. An end is told at once, for the day on
-    which it will come, and taken back if the user plays again before it. A timer clears
-    the state after that day.
+    ``listens``: key, user, ts (timestamp). No row is too late, ``late`` only marks its time for what may follow.
     """
-
-    def __init__(self, days: int):
-        self.days = days
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.span = handle.getValueState("span", StructType([StructField("first", LongType()), StructField("last", LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        played = sorted({int(d) for part in rows for d in part["day"]})
-        old = self.span.get() if self.span.exists() else None
-        first, last = (int(old[0]), int(old[1])) if old else (None, None)
-        out: list[tuple[int, int, bool]] = []
-        for day in played:
-            out.append((day, 0, True))
-            if last is None or day >= last + self.days:
-                out += [(day, 1, False), (day + self.days, -1, False)]
-                first = last = day
-            elif day > last:
-                out += [(last + self.days, 1, False), (day + self.days, -1, False)]
-                last = day
-            elif day < first:  # late, before the span: it counts until the span begins or on its own
-                out += [(day, 1, False), (min(day + self.days, first), -1, False)]
-                first = day if day + self.days >= first else first
-        if old is None or last != int(old[1]) or first != int(old[0]):
-            if old is not None:
-                self.handle.deleteTimer(self._end(int(old[1])))
-            self.span.update((first, last))
-            self.handle.registerTimer(self._end(last))
-        days, deltas, flags = zip(*out)
-        yield pd.DataFrame({"key": [key[0]] * len(out), "day": days, "delta": deltas, "played": flags})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.span.clear()
-        yield pd.DataFrame({"key": [], "day": [], "delta": [], "played": []}).astype({"day": "int64", "delta": "int64", "played": "bool"})
-
-    def _end(self, last: int) -> int:
-        return (last + self.days + 1) * 86_400_000
-
-    def close(self) -> None:
-        pass
+    return listens.withWatermark("ts", late).select("key", "user", F.unix_date(F.to_date("ts")).cast("long").alias("day"), F.lit(days).cast("long").alias("days"))
 
 
-def live_listeners(listens: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
-    """(key, day, delta, played) of each micro-batch: changes of a key's number of users by day (since 1970), and the days played.
-
-    ``listens``: key, user, ts (timestamp). Needs the RocksDB state store. See ``listeners_of``.
-    """
-    kind = listens.schema["key"].dataType
-    changes = StructType([StructField("key", kind), StructField("day", LongType()), StructField("delta", LongType()), StructField("played", BooleanType())])
-    dated = listens.withWatermark("ts", late).select("key", "user", "ts", F.unix_date(F.to_date("ts")).cast("long").alias("day"))
-    return dated.groupBy("key", "user").transformWithStateInPandas(Listeners(days), changes, "Append", "EventTime")
+def _turns(plays: DataFrame, sign: int) -> DataFrame:
+    """(key, day, delta): where users begin and end to count, from a play until ``days`` after the last one. ``plays``: key, user, day, days, no row twice."""
+    w = Window.partitionBy("key", "user").orderBy("day")
+    placed = plays.withColumns({"_before": F.lag("day").over(w), "_after": F.lead("day").over(w)})
+    before, after = F.col("_before"), F.col("_after")
+    begins = F.when(before.isNull() | (F.col("day") >= before + F.col("days")), F.struct("day", F.lit(sign).alias("delta")))
+    ends = F.when(after.isNull() | (after >= F.col("day") + F.col("days")), F.struct((F.col("day") + F.col("days")).alias("day"), F.lit(-sign).alias("delta")))
+    return placed.select("key", F.explode(F.array_compact(F.array(begins, ends))).alias("t")).select("key", "t.*")
 
 
 def listeners_step(path: str) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch``: a batch's changes by key and day, under its batch id; a batch that is run again overwrites its own."""
+    """A function for ``foreachBatch``: a batch's plays and the changes they make, by key and day, under its batch id.
+
+    A change is what the plays of earlier batches and these give beyond the earlier ones.
+    Only plays within ``days`` of the batch's own can meet them, so a batch costs as much as
+    its rows and those days, whatever the order of batches. A batch that is run again
+    overwrites its own.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, own = batch.sparkSession, f"{path}/plays/batch={batch_id}"
+        batch.distinct().sortWithinPartitions("day").write.mode("overwrite").parquet(own)
+        new = spark.read.schema(batch.schema).parquet(own)
+        turned = _turns(new, 1)
+        if batch_id:
+            least, most, days = new.agg(F.min("day"), F.max("day"), F.max("days")).first()
+            old = spark.read.parquet(f"{path}/plays").filter(F.col("batch") < batch_id)
+            near = old.filter(F.col("day").between((least or 0) - (days or 0), (most or 0) + (days or 0))).select(*new.columns)
+            met = near.distinct().join(new.select("key", "user").distinct(), ["key", "user"], "left_semi")
+            turned = _turns(met.unionByName(new).distinct(), 1).unionByName(_turns(met, -1))
+        played = new.select("key", "day", F.lit(0).alias("delta"), F.lit(True).alias("played"))
+        changes = turned.withColumn("played", F.lit(False)).unionByName(played)
+        changes.groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played")).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
 
     return step
 
 
 def listeners_of(spark: SparkSession, path: str) -> DataFrame:
     """(day, key, listeners): different users within ``days`` up to each day on which a key was played, from all batches so far."""
-    daily = spark.read.parquet(path).groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played"))
+    daily = spark.read.parquet(f"{path}/changes").groupBy("key", "day").agg(F.sum("delta").alias("delta"), F.max("played").alias("played"))
     return daily.withColumn("listeners", F.sum("delta").over(Window.partitionBy("key").orderBy("day"))).filter("played").select("day", "key", "listeners")
 
 

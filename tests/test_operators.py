@@ -266,3 +266,18 @@ def test_stacked_notes_and_written_durations(spark):
     lines = spark.createDataFrame([(k, f'{{"track_metadata": {{"additional_info": {{"x": 1, "duration_ms": {v}}}}}}}') for k, (v, _) in enumerate(values)], "k int, line string")
     got = dict(lines.select("k", listen_json.duration_ms(F.col("line")).alias("ms")).collect())
     assert [got[k] for k in range(len(values))] == [ms for _, ms in values]
+
+
+def test_stream_listeners_in_any_order(spark, tmp_path):
+    """Batches whose days come last first, a week and more behind: no play is dropped, no day counts twice."""
+    from datetime import UTC, datetime, timedelta
+
+    at = lambda day: datetime(2024, 1, 1, 12, tzinfo=UTC) + timedelta(days=day)
+    days = [[(28, "x", 1), (24, "x", 2)], [(12, "x", 1), (25, "x", 2), (20, "y", 3)], [(0, "x", 1), (10, "x", 1), (14, "y", 3), (28, "x", 1)], [(3, "x", 1), (11, "x", 4)]]
+    step = live.listeners_step(str(tmp_path / "out"))
+    for k, rows in enumerate([*days, days[-1]]):  # the last batch is run twice
+        batch = spark.createDataFrame([(key, user, at(d)) for d, key, user in rows], "key string, user long, ts timestamp")
+        step(live.live_listeners(batch, 7), min(k, len(days) - 1))
+    got = {(r.key, r.day - 19723): r.listeners for r in live.listeners_of(spark, str(tmp_path / "out")).collect()}
+    whole = spark.createDataFrame([(d, key, user) for rows in days for d, key, user in rows], "day long, key string, user long")
+    assert got == {(r.key, r.day): r.listeners for r in incremental.rolling_listeners(whole, 7).collect()}
