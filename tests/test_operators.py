@@ -281,3 +281,39 @@ def test_stream_listeners_in_any_order(spark, tmp_path):
     got = {(r.key, r.day - 19723): r.listeners for r in live.listeners_of(spark, str(tmp_path / "out")).collect()}
     whole = spark.createDataFrame([(d, key, user) for rows in days for d, key, user in rows], "day long, key string, user long")
     assert got == {(r.key, r.day): r.listeners for r in incremental.rolling_listeners(whole, 7).collect()}
+
+
+def test_nearest_hold_few_scores(monkeypatch):
+    """Many queries and items in bounded memory; ties by item, batches and parts of any size."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    items, queries, names = rnd.integers(-3, 4, (6000, 4)).astype(float), rnd.integers(-3, 4, (2000, 4)).astype(float), rnd.permutation(6000)
+    tracemalloc.start()
+    best = v._Nearest(len(queries), 30)
+    for at in range(0, 6000, 2500):
+        best.add(queries, names[at : at + 2500], items[at : at + 2500])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 10 * 8 * v.HELD_SCORES  # all scores of a batch and their copies took several times that
+    for row in (0, 1, 1999):
+        scores = items @ queries[row]
+        order = np.lexsort((names, -scores))[:30]
+        assert best.names[row].tolist() == names[order].tolist() and (-best.costs[row]).tolist() == scores[order].tolist()
+    monkeypatch.setattr(v, "HELD_SCORES", 7)
+    small = v._Nearest(3, 30)
+    for at in range(0, 6000, 10):
+        small.add(queries[:3], names[at : at + 10], items[at : at + 10])
+    assert (small.names == best.names[:3]).all() and (small.costs == best.costs[:3]).all()
+
+
+def test_ranks_among_all_items(spark):
+    rnd = random.Random(6)
+    rows = [(k, [float(rnd.randrange(-2, 3)) for _ in range(3)]) for k in range(90)]
+    items = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    targets = [(k, k + 1) for k in range(0, 80, 10)]
+    got = v.ranks_among(items, items.filter("id % 10 = 0"), spark.createDataFrame(targets, "case long, item long"), block=3)
+    score = lambda x, y: sum(p * q for p, q in zip(rows[x][1], rows[y][1]))
+    assert {(r.case, r.item, r["rank"]) for r in got.collect()} == {(c, t, 1 + sum(score(c, o) > score(c, t) for o in range(90))) for c, t in targets}
