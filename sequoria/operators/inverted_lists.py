@@ -53,51 +53,29 @@ def build_lists(items: DataFrame, centres: DataFrame, width: int, copies: int =
     return Lists(written(slices.sortWithinPartitions("cluster")), centres, width, copies)
 
 
-def probed(queries: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
-    """(id, vector, clusters): the ``probes`` clusters whose centres score best with the query."""
-    rows = v.with_clusters(queries.select("id", "vector"), centres, probes, by_score=True)
-    return rows.groupBy("id").agg(F.first("vector").alias("vector"), F.collect_list("cluster").alias("clusters"))
-
-
 def list_top_k(lists: Lists, queries: DataFrame, k: int, probes: int, block: int = v.QUERY_BLOCK) -> DataFrame:
     """(query, item, score, rank) of the ``k`` best items of each query's ``probes`` lists; equal scores by id.
 
     Blocks of at most ``block`` queries are broadcast with the lists they probe; only slices
     of those lists are read. A task multiplies a slice with the queries that probe its list
-    and keeps its own best of each query. Scores are rounded to 6 decimals.
+    and keeps its own best of each query, a bounded number of scores at a time. Scores are
+    rounded to 9 decimals.
     """
     spark = lists.slices.sparkSession
     parts = []
-    for chunk in _blocks(probed(queries, lists.centres, probes), block):
-        by: dict[int, list[int]] = {}
-        for row, (_, _, clusters) in enumerate(chunk):
-            for c in clusters:
-                by.setdefault(c, []).append(row)
-        shared = spark.sparkContext.broadcast((np.array([x[0] for x in chunk]), np.array([x[1] for x in chunk], np.float32), {c: np.array(rows) for c, rows in by.items()}))
+    width, most = lists.width, k * lists.copies  # an item may be met as often as it has copies
+    for ids, rows, probing in v.probing_blocks(queries, lists.centres, probes, block):
+        shared = spark.sparkContext.broadcast((ids, rows, probing))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix, probing = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            q_ids, q, by = shared.value
+            best = v._Probed(by, q, most)
             for batch in batches:
-                for cluster, ids, data in zip(batch.column("cluster").to_pylist(), batch.column("ids"), batch.column("data")):
-                    rows, own = probing[cluster], ids.values.to_numpy()
-                    scores = np.round((np.frombuffer(data.as_buffer(), "<f4").reshape(-1, lists_width) @ matrix[rows].T).T.astype(np.float64), 6)
-                    if scores.shape[1] > most:
-                        near = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
-                    for at, row in enumerate(rows.tolist()):
-                        s, i = scores[at], own
-                        if len(i) > most:
-                            kept = s >= near[at]
-                            s, i = s[kept], i[kept]
-                        if row in best:
-                            s, i = np.concatenate([best[row][0], s]), np.concatenate([best[row][1], i])
-                        order = np.lexsort((i, -s))[:most]
-                        best[row] = s[order], i[order]
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[list(best)], [len(x[0]) for x in best.values()])), pa.array(np.concatenate([x[1] for x in best.values()])), pa.array(np.concatenate([x[0] for x in best.values()]))], ["query", "item", "score"])
-
-        lists_width, most = lists.width, k * lists.copies  # an item may be met as often as it has copies
-        wanted = lists.slices.filter(F.col("cluster").isin(sorted(by)))
+                for cluster, own, data in zip(batch.column("cluster").to_pylist(), batch.column("ids"), batch.column("data")):
+                    best.add(cluster, own.values.to_numpy(), np.frombuffer(data.as_buffer(), "<f4").reshape(-1, width).astype(np.float64))
+            yield from best.rows(q_ids)
+
+        wanted = lists.slices.filter(F.col("cluster").isin(sorted(probing)))
         parts.append(wanted.mapInArrow(run, f"query {queries.schema['id'].dataType.simpleString()}, item long, score double"))
     if not parts:
         return spark.createDataFrame([], "query long, item long, score double, rank int")
@@ -106,14 +84,3 @@ def list_top_k(lists: Lists, queries: DataFrame, k: int, probes: int, block: int
         found = found.unionByName(part)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return found.dropDuplicates(["query", "item"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _blocks(rows: DataFrame, most: int) -> Iterator[list]:
-    held = []
-    for row in rows.toLocalIterator():
-        held.append(row)
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held

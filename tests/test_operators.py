@@ -317,3 +317,24 @@ def test_ranks_among_all_items(spark):
     got = v.ranks_among(items, items.filter("id % 10 = 0"), spark.createDataFrame(targets, "case long, item long"), block=3)
     score = lambda x, y: sum(p * q for p, q in zip(rows[x][1], rows[y][1]))
     assert {(r.case, r.item, r["rank"]) for r in got.collect()} == {(c, t, 1 + sum(score(c, o) > score(c, t) for o in range(90))) for c, t in targets}
+
+
+def test_probed_lists_hold_few_scores():
+    """A slice of a list and all queries that probe it, in bounded memory; a query's lists are ranked together."""
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    queries, items = rnd.normal(size=(3000, 4)), rnd.normal(size=(8192, 4))
+    probing = {0: np.arange(3000), 3: np.arange(0, 3000, 2)}
+    tracemalloc.start()
+    best = v._Probed(probing, queries, 5)
+    for cluster, at in ((0, 0), (3, 4096), (4, 0)):
+        best.add(cluster, np.arange(at, at + 4096), items[at : at + 4096])
+    assert tracemalloc.get_traced_memory()[1] < 10 * 8 * v.HELD_SCORES
+    tracemalloc.stop()
+    (got,) = best.rows(np.arange(3000) + 100)
+    found = got.to_pandas().groupby("query")["item"].apply(list)
+    for q, most in ((0, 8192), (1, 4096), (2998, 8192)):
+        assert found[q + 100] == np.argsort(-np.round(items[:most] @ queries[q], 9), kind="stable")[:5].tolist()
