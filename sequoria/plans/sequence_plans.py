@@ -142,13 +142,14 @@ def later_in_playlist(spark, sf_dir):
 
 def cooccurrence_features(spark, sf_dir):
     contexts, candidates = i.contexts_and_candidates(spark, sf_dir)
-    out = features.cooccurrence_features(candidates, contexts, pairs.pair_counts(i.playlists(spark, sf_dir)))
+    parts = i.parts(spark, sf_dir, "lineitem")
+    out = features.cooccurrence_features(candidates, contexts, pairs.pair_counts(i.playlists(spark, sf_dir), parts=parts), parts)
     return _rounded(out)
 
 
 def overlap_features(spark, sf_dir):
     contexts, candidates = i.contexts_and_candidates(spark, sf_dir)
-    return _rounded(features.overlap_features(candidates, contexts, i.attributes(spark, sf_dir)))
+    return _rounded(features.overlap_features(candidates, contexts, i.attributes(spark, sf_dir), i.parts(spark, sf_dir, "lineitem")))
 
 
 def length_features(spark, sf_dir):

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from sequoria.functions import arrays as a
 from sequoria.functions import text as t
 from sequoria.operators import catalog as c
-from sequoria.operators import ids, incremental, pairs, personal, ranking, search
+from sequoria.operators import features, ids, incremental, pairs, personal, ranking, search
 from sequoria.operators import sequences as q
 from sequoria.operators import sessions as s
 from sequoria.operators import vectors as v
+from sequoria.plans import inputs, registry
 from sequoria.sources import dumps, playlists, snapshots
 from sequoria.streaming import live
 
@@ -338,3 +339,24 @@ def test_probed_lists_hold_few_scores():
     found = got.to_pandas().groupby("query")["item"].apply(list)
     for q, most in ((0, 8192), (1, 4096), (2998, 8192)):
         assert found[q + 100] == np.argsort(-np.round(items[:most] @ queries[q], 9), kind="stable")[:5].tolist()
+
+
+def _order_features(spark, sf_dir, make):
+    contexts, candidates = inputs.contexts_and_candidates(spark, sf_dir)
+    return make(candidates, contexts, inputs.attributes(spark, sf_dir)).rdd.getNumPartitions()
+
+
+def test_overlap_is_dealt_out_by_case_as_the_table_grows(spark, sf_dir, monkeypatch):
+    few = inputs.parts(spark, sf_dir, "lineitem")
+    monkeypatch.setattr(inputs, "ROWS_A_PART", 500)
+    many = inputs.parts(spark, sf_dir, "lineitem")
+    assert few == spark.sparkContext.defaultParallelism < many == -(-inputs.table(spark, sf_dir, "lineitem").count() // 500)
+    assert _order_features(spark, sf_dir, lambda *x: features.overlap_features(*x, many)) == many
+
+
+def test_overlap_without_attributes_and_of_a_case_without_context(spark):
+    contexts = spark.createDataFrame([(1, 0, 2, 10), (1, 1, 2, 11), (None, 0, 1, 10)], "case long, place int, n_items int, item long")
+    candidates = spark.createDataFrame([(1, 10), (1, 12), (1, 99), (2, 10)], "case long, item long")
+    known = spark.createDataFrame([(10, "A", "x", ["u", "v"]), (11, "B", "y", ["v"]), (12, "B", "x", ["v", "w"])], "item long, artist string, album string, genres array<string>")
+    out = {(r.case, r.item): tuple(r)[2:] for r in features.overlap_features(candidates, contexts, known, 3).collect()}
+    assert out == {(1, 10): (0.5, 0.5, 0.0, 0.75), (1, 12): (0.5, 0.5, 1.0, 0.5), (1, 99): (0.0, 0.0, 0.0, 0.0), (2, 10): (0.0, 0.0, 0.0, 0.0)}
