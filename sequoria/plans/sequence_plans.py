@@ -170,7 +170,8 @@ def sequence_length_feature(spark, sf_dir):
 def history_features(spark, sf_dir):
     """Overlap and co-occurrence over whole histories."""
     contexts, candidates = i.contexts_and_candidates(spark, sf_dir)
-    return _rounded(features.history_features(candidates, contexts, i.attributes(spark, sf_dir), pairs.pair_counts(i.playlists(spark, sf_dir))))
+    parts = i.parts(spark, sf_dir, "lineitem")
+    return _rounded(features.history_features(candidates, contexts, i.attributes(spark, sf_dir), pairs.pair_counts(i.playlists(spark, sf_dir), parts=parts), parts))
 
 
 def _rounded(rows: DataFrame) -> DataFrame:

@@ -360,3 +360,9 @@ def test_overlap_without_attributes_and_of_a_case_without_context(spark):
     known = spark.createDataFrame([(10, "A", "x", ["u", "v"]), (11, "B", "y", ["v"]), (12, "B", "x", ["v", "w"])], "item long, artist string, album string, genres array<string>")
     out = {(r.case, r.item): tuple(r)[2:] for r in features.overlap_features(candidates, contexts, known, 3).collect()}
     assert out == {(1, 10): (0.5, 0.5, 0.0, 0.75), (1, 12): (0.5, 0.5, 1.0, 0.5), (1, 99): (0.0, 0.0, 0.0, 0.0), (2, 10): (0.0, 0.0, 0.0, 0.0)}
+
+
+def test_counts_after_a_history_are_dealt_out_by_case(spark, sf_dir):
+    contexts, candidates = inputs.contexts_and_candidates(spark, sf_dir)
+    counts = pairs.pair_counts(inputs.playlists(spark, sf_dir), parts=5)
+    assert pairs.after_counts(contexts, candidates, counts, 7).rdd.getNumPartitions() == 7
