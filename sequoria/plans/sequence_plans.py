@@ -100,8 +100,8 @@ def pair_counts(spark, sf_dir):
 
 def pair_merge(spark, sf_dir):
     """The pair tables of even and odd playlists added up, with those of items from id 100 on apart."""
-    rows = i.playlists(spark, sf_dir)
-    both = incremental.updated_pairs(pairs.pair_counts(rows.filter("seq % 2 = 0")), pairs.pair_counts(rows.filter("seq % 2 = 1")))
+    rows, parts = i.playlists(spark, sf_dir), i.parts(spark, sf_dir, "lineitem")
+    both = incremental.updated_pairs(*(pairs.pair_counts(rows.filter(f"seq % 2 = {k}"), parts=parts) for k in range(2)))
     return pairs.involving_new(both, 100)
 
 

@@ -366,3 +366,9 @@ def test_counts_after_a_history_are_dealt_out_by_case(spark, sf_dir):
     contexts, candidates = inputs.contexts_and_candidates(spark, sf_dir)
     counts = pairs.pair_counts(inputs.playlists(spark, sf_dir), parts=5)
     assert pairs.after_counts(contexts, candidates, counts, 7).rdd.getNumPartitions() == 7
+
+
+def test_merged_pair_tables_are_dealt_out_once(spark, sf_dir):
+    rows = inputs.playlists(spark, sf_dir)
+    halves = [pairs.pair_counts(rows.filter(f"seq % 2 = {k}"), parts=9) for k in range(2)]
+    assert pairs.merged(*halves).rdd.getNumPartitions() == 9
