@@ -124,11 +124,11 @@ def popularity_baseline(spark, sf_dir):
 def multi_target_gains(spark, sf_dir):
     """NDCG of the next five items by popularity, weights falling by 0.8."""
     rows = i.playlists(spark, sf_dir)
-    targets = q.next_targets(rows, 5).select("seq", "pos", F.posexplode("targets").alias("d", "item"))
-    ranked = targets.join(ranking.popularity_ranks(rows).select("item", "rank"), "item", "left")
-    arrays = ranked.groupBy("seq", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", F.coalesce("rank", F.lit(0)).alias("rank")))), lambda x: x["rank"]).alias("ranks"))
+    ranked = rows.join(ranking.popularity_ranks(rows).select("item", "rank"), "item", "left").select("seq", "pos", F.struct("item", "rank").alias("item"))
+    targets = q.next_targets(pairs.dealt(ranked, i.parts(spark, sf_dir, "lineitem"), "seq"), 5)
+    ranks = F.transform("targets", lambda x: F.coalesce(x["rank"], F.lit(0)))
     weights = F.array(*(F.lit(0.8**d) for d in range(5)))
-    return arrays.select("seq", "pos", F.round(a.multi_target_gain(F.col("ranks"), weights, 1000), 9).alias("gain"))
+    return targets.select("seq", "pos", F.round(a.multi_target_gain(ranks, weights, 1000), 9).alias("gain"))
 
 
 def later_in_playlist(spark, sf_dir):

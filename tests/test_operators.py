@@ -372,3 +372,8 @@ def test_merged_pair_tables_are_dealt_out_once(spark, sf_dir):
     rows = inputs.playlists(spark, sf_dir)
     halves = [pairs.pair_counts(rows.filter(f"seq % 2 = {k}"), parts=9) for k in range(2)]
     assert pairs.merged(*halves).rdd.getNumPartitions() == 9
+
+
+def test_gains_of_targets_make_no_row_for_each_target(spark, sf_dir):
+    plan = registry.queries()["multi_target_gains"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
