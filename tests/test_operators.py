@@ -377,3 +377,8 @@ def test_merged_pair_tables_are_dealt_out_once(spark, sf_dir):
 def test_gains_of_targets_make_no_row_for_each_target(spark, sf_dir):
     plan = registry.queries()["multi_target_gains"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_counts_that_are_compared_are_dealt_out_as_the_table_grows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(inputs, "ROWS_A_PART", 500)
+    assert registry.queries()["lowered_counts"](spark, sf_dir).rdd.getNumPartitions() == inputs.parts(spark, sf_dir, "lineitem")
