@@ -27,8 +27,8 @@ def written_files(spark: SparkSession) -> str:
 
 
 def _one_row_files(values: DataFrame, path: str) -> None:
-    """A text file for each row of ``values``."""
-    values.write.option("maxRecordsPerFile", 1).text(path)
+    """A compressed text file for each row of ``values``."""
+    values.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def dump_months(spark, sf_dir):
@@ -69,15 +69,22 @@ def keyed_listens(spark, sf_dir):
 
 def store_entries(spark, sf_dir):
     """Playlist slices in JSON, a store made of them, and its sequences of three entries or more, by name."""
-    rows = i.playlists(spark, sf_dir).join(i.attributes(spark, sf_dir), "item")
-    text = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    track = F.struct(
-        F.col("pos").cast("int").alias("pos"), text("Track ", "item").alias("track_name"), text("track:", "item").alias("track_uri"), F.col("artist").alias("artist_name"), text("artist:", "artist").alias("artist_uri"),
-        F.col("album").alias("album_name"), text("album:", "album").alias("album_uri"), F.col("length_ms").cast("long").alias("duration_ms"),
-    )
-    lists = rows.select("seq", track.alias("t")).groupBy("seq").agg(F.sort_array(F.collect_list("t")).alias("tracks"))
-    lists = lists.select(F.floor(F.col("seq") / ORDERS_A_SLICE).alias("slice"), F.struct(text("List ", "seq").alias("name"), F.col("seq").alias("pid"), "tracks").alias("p"))
-    slices = lists.groupBy("slice").agg(F.to_json(F.struct(F.collect_list("p").alias("playlists"))).alias("value")).select("value")
+    rows = i.playlists(spark, sf_dir).join(i.attributes(spark, sf_dir).drop("genres"), "item").withColumn("slice", F.floor(F.col("seq") / ORDERS_A_SLICE))
+    text = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+
+    def track(t):
+        item, artist, album = t["item"], t["artist"], t["album"]
+        return F.struct(
+            t["pos"].cast("int").alias("pos"), text("Track ", item).alias("track_name"), text("track:", item).alias("track_uri"), artist.alias("artist_name"), text("artist:", artist).alias("artist_uri"),
+            album.alias("album_name"), text("album:", album).alias("album_uri"), t["length_ms"].cast("long").alias("duration_ms"),
+        )
+
+    # dealt out by slice once; names are made behind it
+    dealt = pairs.dealt(rows, i.parts(spark, sf_dir, "lineitem"), "slice")
+    lists = dealt.groupBy("slice", "seq").agg(F.sort_array(F.collect_list(F.struct("pos", "item", "artist", "album", "length_ms"))).alias("tracks"))
+    slices = lists.groupBy("slice").agg(F.collect_list(F.struct("seq", "tracks")).alias("lists"))
+    playlist = lambda p: F.struct(text("List ", p["seq"]).alias("name"), p["seq"].alias("pid"), F.transform(p["tracks"], track).alias("tracks"))
+    slices = slices.select(F.to_json(F.struct(F.transform("lists", playlist).alias("playlists"))).alias("value"))
     files, store = written_files(spark), written_files(spark)
     _one_row_files(slices, files)
     playlists.write_store(playlists.playlist_entries(spark, files), store)

@@ -24,9 +24,11 @@ def write_store(entries: DataFrame, path: str) -> None:
     The order is that of files by name (then path), playlists and places in them. The first record of a key gives its attributes; ``conflicts`` in ``tracks`` counts other ones.
     """
     ordered = entries.withColumn("_order", F.struct(F.element_at(F.split("file", "/"), -1), "file", "playlist", "pos"))
-    first = lambda c: F.min_by(c, "_order").alias(c)
     attributes = ("track_name", "artist_name", "artist_uri", "album_name", "album_uri", "duration_ms")
-    tracks = ordered.groupBy("track_uri").agg(F.min("_order").alias("_first"), (F.count_distinct(F.struct(*attributes)) - 1).alias("conflicts"), *map(first, attributes))
+    # one row for each different record of a track, then the first of them
+    records = ordered.groupBy("track_uri", *attributes).agg(F.min("_order").alias("_first"))
+    least = records.groupBy("track_uri").agg(F.min(F.struct("_first", *attributes)).alias("_least"), (F.count("*") - 1).alias("conflicts"))
+    tracks = least.select("track_uri", "_least._first", "conflicts", *(f"_least.{c}" for c in attributes))
     tracks = with_dense_id(tracks, F.col("_first"), "track_uri", name="track")
     tables = {"tracks": tracks.drop("_first")}
     for kind in ("artist", "album"):

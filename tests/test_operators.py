@@ -382,3 +382,12 @@ def test_gains_of_targets_make_no_row_for_each_target(spark, sf_dir):
 def test_counts_that_are_compared_are_dealt_out_as_the_table_grows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(inputs, "ROWS_A_PART", 500)
     assert registry.queries()["lowered_counts"](spark, sf_dir).rdd.getNumPartitions() == inputs.parts(spark, sf_dir, "lineitem")
+
+
+def test_slices_are_compressed_files_of_a_row(spark, tmp_path):
+    from sequoria.plans import table_plans
+
+    table_plans._one_row_files(spark.createDataFrame([("x" * 10_000,)], "value string"), str(tmp_path / "slices"))
+    files = [f for f in (tmp_path / "slices").iterdir() if f.name.startswith("part-")]
+    assert {f.suffix for f in files} == {".gz"} and sum(f.stat().st_size for f in files) < 1000
+    assert sorted(len(r.value) for r in spark.read.text(str(tmp_path / "slices"), wholetext=True).collect())[-1] == 10_001  # with its line end
