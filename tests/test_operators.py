@@ -391,3 +391,18 @@ def test_slices_are_compressed_files_of_a_row(spark, tmp_path):
     files = [f for f in (tmp_path / "slices").iterdir() if f.name.startswith("part-")]
     assert {f.suffix for f in files} == {".gz"} and sum(f.stat().st_size for f in files) < 1000
     assert sorted(len(r.value) for r in spark.read.text(str(tmp_path / "slices"), wholetext=True).collect())[-1] == 10_001  # with its line end
+
+
+def test_features_of_a_history_that_is_the_context_are_made_once(spark):
+    contexts = spark.createDataFrame([(1, 0, 2, 10), (1, 1, 2, 11), (3, 0, 1, 12)], "case long, place int, n_items int, item long")
+    candidates = spark.createDataFrame([(1, 10, 2.0, 1), (1, 12, 1.0, 2), (2, 10, 1.0, 1), (3, 11, 1.0, 1)], "case long, item long, score double, rank int")
+    attributes = spark.createDataFrame([(10, "A", "x", ["u", "v"], 5000), (11, "B", "y", ["v"], 7000), (12, "B", "x", ["v", "w"], 9000)], "item long, artist string, album string, genres array<string>, length_ms long")
+    counts = spark.createDataFrame([(10, 5), (11, 3)], "item long, n long")
+    after = spark.createDataFrame([(10, 12, 4), (11, 12, 1), (12, 11, 2)], "a long, b long, n long")
+    near = spark.createDataFrame([(1, 7, 1)], "case long, seq long, rank int")
+    known = features.Statistics(counts, after, attributes, near, spark.createDataFrame([(7, 12)], "seq long, item long"))
+    once = features.ranking_features(candidates, contexts, contexts, known, parts=3)
+    twice = features.ranking_features(candidates, contexts, contexts.select("*"), known)
+    assert sorted(once.collect()) == sorted(twice.collect())
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert 0 < windows(once) < windows(twice)
