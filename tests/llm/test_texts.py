@@ -8,6 +8,8 @@ import tempfile
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sequoria.llm import contamination, fuzzy_lines, induced, jaccard_join, recompression, repetition, suffix_dedup
 
@@ -274,6 +276,40 @@ def test_changed_letters_beside_a_common_passage(spark, others):
     assert found == {10_001 + 2 * k for k in range(20)}
 
 
+def test_links_do_not_depend_on_the_size_of_a_key(spark):
+    """Pairs that share a common passage alone, as every own word is changed by a letter: what is found stays, however many other lines have the passage."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    passage, pairs = [word() for _ in range(30)], []
+    for k in range(20):
+        own = [word() for _ in range(24)]
+        pairs += [(10_000 + 2 * k, " ".join(passage + own)), (10_001 + 2 * k, " ".join(passage + [w[:2] + chr(97 + (ord(w[2]) - 96) % 26) + w[3:] for w in own]))]
+    others = [(k, " ".join(passage + [word() for _ in range(24)])) for k in range(fuzzy_lines.FULL + 100)]
+    alone, beside = ({r.doc_id for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} for rows in (pairs, others + pairs))
+    assert beside == alone and len(alone) >= 15 and all(x % 2 for x in alone)
+
+
+@pytest.mark.parametrize("part", [7, 1024])
+def test_parts_of_a_key_meet_in_full(spark, monkeypatch, part):
+    """Against all pairs of lines, with keys in one part and in many: each pair that may be similar comes once."""
+    monkeypatch.setattr(fuzzy_lines, "PART", part)
+    monkeypatch.setattr(fuzzy_lines, "FULL", 20)
+    rnd = random.Random(23)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 14))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = fuzzy_lines.written(fuzzy_lines.line_table(docs).select("line", F.struct("doc_id", "line_no").alias("first"), *fuzzy_lines.FEATURES[1:]).dropDuplicates(["line"]))
+    rest = lines.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("n").cast("long") + 10)).alias("key"), *fuzzy_lines.FEATURES, F.col("line").alias("root")).withColumn("lines", F.count("*").over(Window.partitionBy("key")))
+    norms = fuzzy_lines.written(fuzzy_lines._texts(docs, lines.select("line", "first")))
+    found = [tuple(r) for r in fuzzy_lines._met_in_parts(rest, norms).collect()]
+    rows, norm = lines.collect(), {r.line: r.norm.split() for r in norms.collect()}
+    near = lambda a, b: abs(a["size"] - b["size"]) <= int(max(a["size"], b["size"]) * 0.2 + 1e-9) and (min(a.n, b.n) < 8 or (a.sim ^ b.sim).bit_count() <= fuzzy_lines.MOST_BITS)
+    share = lambda x, y: min(len(x), len(y)) < 8 or len(set(x) & set(y)) >= 0.4 * min(len(set(x)), len(set(y)))
+    close = {(a.line, b.line) for a in rows for b in rows if a.line < b.line and near(a, b)}
+    want = {p for p in close if share(norm[p[0]], norm[p[1]])}
+    assert len(found) == len(set(found)) and want <= set(found) <= close and want
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     rows = [(0, "版权所有保留一切权利未经许可不得转载\nPrivacy policy"), (1, "版权所有保留一切权利未经许可不得转截\nPRIVACY policy!"), (2, "今天天气很好我们去公园散步吧\nshort line"), (3, "สงวนลิขสิทธิ์ตามกฎหมาย\nshort line"), (4, "สงวนลิขสิทธิ์ตามกฎหมาย\nPrivacy")]
     found = {(r.doc_id, r.line_no) for r in fuzzy_lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
