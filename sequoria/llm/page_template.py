@@ -348,7 +348,8 @@ def _nested(pages: DataFrame, classed: DataFrame) -> DataFrame:
     joined = pages.join(F.broadcast(classed) if (size or 0) <= BROADCAST_BYTES else classed, "host")
     met = joined.select("host", "html", "tokens").mapInArrow(run, "host string, vector long, token long, place long, parent long, gap long")
     both = [f(c).alias(f"{n}_{c}") for c in ("place", "parent", "gap") for n, f in (("low", F.min), ("high", F.max))]
-    ordered = met.groupBy("host", "vector", "token").agg(*both).filter("low_place = high_place AND low_place >= 0 AND low_parent = high_parent AND low_gap = high_gap AND low_gap >= 0")
+    # written, as it is read twice and made by parsing all pages
+    ordered = written(met.groupBy("host", "vector", "token").agg(*both).filter("low_place = high_place AND low_place >= 0 AND low_parent = high_parent AND low_gap = high_gap AND low_gap >= 0"))
     left = ordered.groupBy("host", "vector").agg(F.count("*").alias("_n")).filter("_n > 1").select("host", "vector")
     return ordered.join(left, ["host", "vector"]).select("host", "vector", "token", F.col("low_parent").alias("parent"))
 

@@ -97,6 +97,15 @@ def test_classes_nest_and_crossing_ones_are_not_valid(spark):
     assert row.n_tokens == 3 and row.slot == "/body/div.m/div.in"  # body, its container and the one inside it
 
 
+def test_classes_are_nested_by_one_reading_of_the_pages(spark):
+    """What ``_nested`` gives is read from a written table, so pages are not parsed for each of its uses."""
+    pages = spark.createDataFrame([("site.org", PAGE % (i, i, i)) for i in range(4)], "host string, html string")
+    tokens = {t: 1 for t, is_text, *_ in page_template._tokens(PAGE % (0, 0, 0)) if not is_text}
+    nested = page_template._nested(pages, spark.createDataFrame([("site.org", tokens)], "host string, tokens map<long,long>"))
+    assert {r.token for r in nested.collect()} <= set(tokens) and nested.count() > 1
+    assert "MapInArrow" not in nested._jdf.queryExecution().toString()
+
+
 def test_nested_markup_takes_linear_time():
     import time
 
