@@ -92,17 +92,26 @@ class Trie:
             self.values[at[left[placed]]] = values[left[placed]]
             left = left[~placed]
             at[left] = (at[left] + np.uint64(1)) & self.mask
+        #: The nodes of single characters, by character.
+        self.root = np.full(LITERAL_SPACE + 1, -1, dtype=np.int32)
+        for (a, c), node in nodes.items():
+            if a == 0:
+                self.root[c] = node
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next node, -1 for none."""
         key = ((node.astype(np.uint64) << np.uint64(21)) | char.astype(np.uint64)) + np.uint64(1)
-        at, out, left = g.mix(key) & self.mask, np.full(len(node), -1, dtype=np.int64), np.arange(len(node))
+        at = g.mix(key) & self.mask
+        there = self.keys[at]
+        hit = there == key
+        out = np.where(hit, self.values[at], -1)
+        left = np.flatnonzero(~hit & (there != 0))
         while len(left):
+            at[left] = (at[left] + np.uint64(1)) & self.mask
             there = self.keys[at[left]]
             hit = there == key[left]
             out[left[hit]] = self.values[at[left[hit]]]
             left = left[~hit & (there != 0)]
-            at[left] = (at[left] + np.uint64(1)) & self.mask
         return out
 
 
@@ -118,19 +127,22 @@ class Sampler:
         """Edges (from state, to state, piece or -1 minus the character, depth) of units chars[begin:end]; unit u has states from begin[u] + u."""
         n = len(chars)
         unit = np.repeat(np.arange(len(begin)), end - begin)
-        stop, act, node = end[unit], np.arange(n), np.zeros(n, dtype=np.int64)
-        single, found, k = np.zeros(n, dtype=bool), [], 0
+        stop, node = end[unit], self.trie.root[chars]
+        act = np.flatnonzero(node >= 0)
+        node, single, found, k = node[act], np.zeros(n, dtype=bool), [], 0
         while len(act):
-            inside = act + k < stop[act]
-            act, node = act[inside], node[inside]
-            node = self.trie.step(node, chars[act + k])
-            act, node = act[node >= 0], node[node >= 0]
             piece = self.trie.terminal[node]
-            whole = piece >= 0
-            found.append((act[whole], act[whole] + k + 1, piece[whole]))
+            whole = np.flatnonzero(piece >= 0)
+            first = act[whole]
+            found.append((first, first + k + 1, piece[whole]))
             if k == 0:
-                single[act[whole]] = True
+                single[first] = True
             k += 1
+            inside = np.flatnonzero(act + k < stop[act])
+            act = act[inside]
+            node = self.trie.step(node[inside], chars[act + k])
+            there = np.flatnonzero(node >= 0)
+            act, node = act[there], node[there]
         rest = np.flatnonzero(~single)
         found.append((rest, rest + 1, -1 - chars[rest]))
         first, last, piece = (np.concatenate(x) for x in zip(*found))
@@ -141,10 +153,16 @@ class Sampler:
         """Edges by their end state with the running sum of their probabilities given that state, and the first edge of every state."""
         source, target, piece, depth = self.lattice(chars, begin, end)
         # an edge has its target and length for itself, so the order is the same in any chunk; long pieces, mostly the likely ones, come first
-        exact = target << 5 | (31 - (target - source))
-        order = np.argsort(depth << 40 | exact) if depth.max() < 1 << 22 and len(chars) < 1 << 34 else np.lexsort((exact, depth))
-        source, target, piece, depth, exact = source[order], target[order], piece[order], depth[order], exact[order]
-        weight = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], BYTE_PENALTY * _utf8_length(-1 - piece))
+        # (edges of one length are in order, so the sort merges few runs; depths are mostly small, so their sort counts)
+        order = np.argsort(target << 5 | (31 - (target - source)), kind="stable")
+        exact_source, exact_piece = source, piece = source[order], piece[order]
+        target, depth = target[order], depth[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(target, minlength=len(chars) + len(begin)))])
+        weight = self.weight[np.maximum(piece, 0)]
+        raw = np.flatnonzero(piece < 0)
+        weight[raw] = BYTE_PENALTY * _utf8_length(-1 - piece[raw])
+        by_depth = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        source, target, depth, weight = source[by_depth], target[by_depth], depth[by_depth], weight[by_depth]
         new = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
         size = np.diff(np.concatenate([new, [len(target)]]))
         # one step for each depth over all units; a state's edges lie together
@@ -160,9 +178,9 @@ class Sampler:
             total = np.add.reduceat(v, segments)
             alpha[target[new[lo:hi]]] = top + np.log(total)
             share[a:b] = v / np.repeat(total, lengths)
-        order = np.argsort(exact)
-        first = np.concatenate([[0], np.cumsum(np.bincount(target, minlength=len(alpha)))])
-        return source[order], piece[order], np.cumsum(share[order]), first
+        exact_share = np.empty_like(share)
+        exact_share[by_depth] = share
+        return exact_source, exact_piece, np.cumsum(exact_share), first
 
     def sample(self, units: list[str], of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a segmentation of each occurrence ``of`` of a distinct unit: (ids one after another, ids of each occurrence)."""
@@ -172,7 +190,8 @@ class Sampler:
         end = np.cumsum(lengths)
         begin = end - lengths
         source, piece, running, first = self.filtered(chars, begin, end)
-        out_size = np.where(piece >= 0, 1, _utf8_length(-1 - piece))
+        out_size, raw = np.ones(len(piece), dtype=np.int64), np.flatnonzero(piece < 0)
+        out_size[raw] = _utf8_length(-1 - piece[raw])
         start = (begin + np.arange(len(units)))[of]
         state, act, step, drawn, count = (end + np.arange(len(units)))[of], np.arange(len(of)), 0, [], np.zeros(len(of), dtype=np.int64)
         while len(act):

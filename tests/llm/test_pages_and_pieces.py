@@ -188,6 +188,20 @@ def test_repeated_pages_long_pages_and_cut_pages(spark):
     assert texts[90] == ("long words " * 40000).strip() and texts[91] == "one < 3 two" and len(texts[92]) < 100000
 
 
+def test_first_characters_and_very_long_units():
+    """The table of first characters is the first step of the trie; a unit of more characters than 16 bits count is drawn like others."""
+    sampler = sampled_pieces.Sampler(sampled_pieces.load_pieces())
+    chars = np.array([*range(0x300), 0x2581, 0x4E2D, 0x1F600, sampled_pieces.LITERAL_SPACE])
+    assert (sampler.trie.root[chars] == sampler.trie.step(np.zeros(len(chars), dtype=np.int64), chars)).all()
+    texts = ["abc def" * 11000, "x" * 70000, "short \U0001f600▁ one"]
+    keys = np.arange(3, dtype=np.uint64)
+    ids, count = sampler.encode(texts, keys)
+    ends = np.cumsum(count)
+    assert [sampler.decode(ids[e - n : e].tolist()) for e, n in zip(ends, count)] == texts
+    # what a text gets does not depend on the texts beside it
+    assert (sampler.encode(texts[2:], keys[2:])[0] == ids[ends[1] :]).all()
+
+
 def test_models_whose_pieces_reach_over_cuts_are_refused(monkeypatch):
     monkeypatch.setattr(sampled_pieces, "_INSIDE", re.compile("x"))
     with pytest.raises(ValueError, match="reach over"):
