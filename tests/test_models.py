@@ -29,6 +29,14 @@ def test_factors_find_what_follows(spark):
     assert sorted((r.case, r.item, r.rank) for r in popular) == [(7, 1, 2), (7, 2, 1), (8, 1, 2), (8, 2, 1)]
 
 
+def test_blocks_of_factors_grow_in_number_with_the_pairs(spark, monkeypatch):
+    known = spark.range(3000).select((F.col("id") % 60).alias("a"), F.floor(F.col("id") / 60).alias("b"), F.lit(1).alias("n"))
+    monkeypatch.setattr(factors, "BLOCK_PAIRS", 150)
+    learned = factors.fitted_factors(known, rank=2, rounds=1)
+    assert learned.items.rdd.getNumPartitions() == learned.contexts.rdd.getNumPartitions() == 20
+    assert learned.items.count() == 50 and learned.contexts.count() == 60
+
+
 def test_learned_vectors_and_ranker_beat_their_baselines(spark, sf_dir):
     """Held-out next words: vectors against the most frequent words, trees against the order of retrieval.
 
