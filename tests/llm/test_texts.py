@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tempfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -289,6 +290,17 @@ def test_links_do_not_depend_on_the_size_of_a_key(spark):
     assert beside == alone and len(alone) >= 15 and all(x % 2 for x in alone)
 
 
+def test_tables_of_keys_do_not_stay_on_disk(spark, monkeypatch):
+    """What only serves to find links is gone when the result is made."""
+    made, written = [], fuzzy_lines.written
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df: made.append(written(df)) or made[-1])
+    texts = ["one two three four five six\nseven eight nine ten eleven", "one two three four five sixx\nseven eight nine ten eleve", "one two three four fives six"]
+    found = {r.doc_id: r.n_dropped for r in fuzzy_lines.line_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 2, 2: 1}
+    left = [t.columns for t in made if Path(t._written_to.removeprefix("file:")).exists()]
+    assert left and not [c for c in left if {"shingles", "key", "keys", "bits", "norm"} & set(c)]
+
+
 @pytest.mark.parametrize("part", [7, 1024])
 def test_parts_of_a_key_meet_in_full(spark, monkeypatch, part):
     """Against all pairs of lines, with keys in one part and in many: each pair that may be similar comes once."""
