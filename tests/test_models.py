@@ -70,6 +70,23 @@ def test_sampled_cases_are_whole(spark):
     assert features.sampled_cases(rows, 10**6).count() == 3000
 
 
+def test_trees_are_fitted_on_all_rows(spark):
+    """What only cases beyond the first half of the hash order show, in more than 200,000 rows, is learned too."""
+    late = F.pmod(F.xxhash64("case"), F.lit(1 << 30)) >= 1 << 29
+    rows = spark.range(420_000).select((F.col("id") % 42_000).alias("case"), F.col("id").alias("item")).withColumns({"seen": late.cast("double"), "noise": (F.col("item") % 97).cast("double"), "label": F.when(late, 1.0).otherwise((F.col("item") % 2).cast("double"))})
+    model = features.fitted_trees(rows, ["seen", "noise"], trees=2, depth=2)
+    got = model.transform(spark.createDataFrame([(0.0, 5.0), (1.0, 5.0)], "seen double, noise double")).orderBy("seen").collect()
+    assert got[1].probability[1] > got[0].probability[1] + 0.1
+
+
+def test_edges_of_trees_are_exact(spark):
+    """Quantiles of all rows; a value that most rows have is a bin of its own."""
+    rows = spark.range(1, 3201).select(F.col("id").cast("double").alias("even"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("double").alias("heavy"))
+    even, heavy = features.tree_edges(rows, ["even", "heavy"])
+    assert len(even) == 33 and [round(e, 3) for e in even[1:3]] == [round(1 + 3199 * k / 32, 3) for k in (1, 2)]
+    assert heavy[1] == 7 and 7 < heavy[2] < 7.001 and len(heavy) < 33
+
+
 @pytest.mark.parametrize("slice_items,copies,block", [(4096, 1, 4096), (7, 1, 4096), (7, 3, 4)])
 def test_inverted_lists(spark, slice_items, copies, block):
     """All lists probed is the exact answer; fewer lists find what numpy finds in them; lists are split in slices."""
