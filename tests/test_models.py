@@ -37,6 +37,18 @@ def test_blocks_of_factors_grow_in_number_with_the_pairs(spark, monkeypatch):
     assert learned.items.count() == 50 and learned.contexts.count() == 60
 
 
+def test_rounds_of_factors_leave_few_files(spark, monkeypatch):
+    """Each round is a checkpoint, which drops its shuffle files, and 30 million pairs do not need more blocks than few ones."""
+    from pyspark.ml.recommendation import ALS
+
+    fit, seen = ALS.fit, []
+    monkeypatch.setattr(ALS, "fit", lambda self, rows: seen.append(self) or fit(self, rows))
+    known = spark.range(100).select((F.col("id") % 10).alias("a"), F.floor(F.col("id") / 10).alias("b"), F.lit(1).alias("n"))
+    monkeypatch.setattr(type(known), "count", lambda self: 30_000_000)
+    factors.fitted_factors(known, rank=2, rounds=1)
+    assert [(als.getCheckpointInterval(), als.getNumUserBlocks(), als.getNumItemBlocks()) for als in seen] == [(1, 10, 10)]
+
+
 def test_learned_vectors_and_ranker_beat_their_baselines(spark, sf_dir):
     """Held-out next words: vectors against the most frequent words, trees against the order of retrieval.
 
