@@ -61,6 +61,33 @@ def test_learned_vectors_and_ranker_beat_their_baselines(spark, sf_dir):
     assert lists["ranked"].n == lists["retrieved"].n and lists["ranked"].ndcg_10 > lists["retrieved"].ndcg_10
 
 
+def test_repeated_items_of_a_context_are_looked_up_once(spark):
+    contexts = spark.createDataFrame([(1, 0, 4, 10), (1, 1, 4, 11), (1, 2, 4, 10), (1, 3, 4, 10)], "case long, place int, n_items int, item long")
+    candidates = spark.createDataFrame([(1, 20), (1, 21)], "case long, item long")
+    counts = spark.createDataFrame([(10, 20, 5), (11, 20, 2), (11, 21, 3)], "a long, b long, n long")
+    once = pairs.after_counts(contexts, candidates, counts)
+    want = {(1, 20, 5, 17, 1.0), (1, 21, 0, 3, 0.25)}
+    assert {tuple(r) for r in once.collect()} == want == {tuple(r) for r in pairs.after_counts(contexts, candidates, counts, 3).collect()}
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.rindex("Aggregate [")  # below the look-up
+
+
+def test_features_in_steps_are_those_of_one_step(spark, monkeypatch):
+    contexts = spark.range(60).select(F.floor(F.col("id") / 3).alias("case"), (F.col("id") % 3).cast("int").alias("place"), F.lit(3).alias("n_items"), (F.col("id") * 7 % 11).alias("item"))
+    candidates = spark.range(40).select(F.floor(F.col("id") / 2).alias("case"), (F.col("id") * 5 % 11).alias("item"), (F.col("id") % 2).cast("double").alias("score"), (F.col("id") % 2 + 1).cast("int").alias("rank"))
+    attributes = spark.range(11).select(F.col("id").alias("item"), (F.col("id") % 3).cast("string").alias("artist"), (F.col("id") % 4).cast("string").alias("album"), F.array((F.col("id") % 2).cast("string")).alias("genres"), (F.col("id") * 1000).alias("length_ms"))
+    after = spark.range(50).select((F.col("id") % 7).alias("a"), F.floor(F.col("id") / 7).alias("b"), F.col("id").alias("n"))
+    members = spark.range(90).select((F.col("id") % 30).alias("seq"), (F.col("id") * 3 % 11).alias("item"))
+    known = features.Statistics(spark.range(11).select(F.col("id").alias("item"), F.col("id").alias("n")), after, attributes, None, members)
+    make = lambda: sorted(model_plans._features_in_steps(candidates, contexts, contexts.select("*"), known, contexts.select("case").distinct()).collect())
+    kept = model_plans.written
+    made = []
+    monkeypatch.setattr(model_plans, "written", lambda df: made.append(1) or kept(df))
+    whole = make()
+    monkeypatch.setattr(model_plans, "STEP_CASES", 6)
+    assert make() == whole and len(whole) == 40 and len(made) == 1 + 4
+
+
 def test_features_of_unknown_items_are_nothing(spark):
     candidates = spark.createDataFrame([(1, 10, 0.5, 1), (1, 99, 0.25, 2)], "case long, item long, score double, rank int")
     contexts = spark.createDataFrame([(1, 0, 2, 10), (1, 1, 2, 11)], "case long, place int, n_items int, item long")
