@@ -88,6 +88,13 @@ def test_features_in_steps_are_those_of_one_step(spark, monkeypatch):
     assert make() == whole and len(whole) == 40 and len(made) == 1 + 4
 
 
+def test_assembled_features_in_steps_of_orders(spark, sf_dir, monkeypatch):
+    whole = sorted(model_plans.assembled_features(spark, sf_dir).collect())
+    monkeypatch.setattr(model_plans, "STEP_ORDERS", 700)
+    stepped = model_plans.assembled_features(spark, sf_dir)
+    assert stepped._jdf.queryExecution().analyzed().toString().count("Relation") > 1 and sorted(stepped.collect()) == whole
+
+
 def test_features_of_unknown_items_are_nothing(spark):
     candidates = spark.createDataFrame([(1, 10, 0.5, 1), (1, 99, 0.25, 2)], "case long, item long, score double, rank int")
     contexts = spark.createDataFrame([(1, 0, 2, 10), (1, 1, 2, 11)], "case long, place int, n_items int, item long")
