@@ -301,6 +301,26 @@ def test_tables_of_keys_do_not_stay_on_disk(spark, monkeypatch):
     assert left and not [c for c in left if {"shingles", "key", "keys", "bits", "norm"} & set(c)]
 
 
+def test_large_keys_meet_in_rounds(spark, monkeypatch):
+    """A line of a key of many parts is in many cells: rounds hold a few rows for each line, and their links are those of one round."""
+    monkeypatch.setattr(fuzzy_lines, "PART", 4)
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    passage, own = [word() for _ in range(8)], [[word() for _ in range(12)] for _ in range(30)]
+    texts = [" ".join([*passage, *(word() if i == k // 30 else w for i, w in enumerate(own[k % 30]))]) for k in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, cells = fuzzy_lines.written, []
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df: cells.append(df.columns) or made(df))
+    found, rounds = [], []
+    for copies, pairs in ((4, 1), (1000, 4_000_000)):
+        monkeypatch.setattr(fuzzy_lines, "COPIES", copies)
+        monkeypatch.setattr(fuzzy_lines, "STEP_PAIRS", pairs)
+        cells.clear()
+        found.append(sorted(tuple(r) for r in fuzzy_lines.dropped_lines(docs).collect()))
+        rounds.append(cells.count(["a", "b"]))
+    assert found[0] == found[1] and len(found[0]) == 60 and rounds[0] > rounds[1]
+
+
 @pytest.mark.parametrize("part", [7, 1024])
 def test_parts_of_a_key_meet_in_full(spark, monkeypatch, part):
     """Against all pairs of lines, with keys in one part and in many: each pair that may be similar comes once."""
