@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sequoria.llm import textgrid as g
-from sequoria.llm.shared import components, written
+from sequoria.llm.shared import components, dropped, written
 
 #: Words in a shingle; links have 100 * intersection >= LEAST * union.
 SHINGLE, LEAST = 5, 80
@@ -163,7 +163,7 @@ def _can_link(x, y, least: int) -> Column:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, size: int, least: int) -> DataFrame:
-    """The pairs (a, b) that are links: filters of the other orders first, then both texts."""
+    """The pairs (a, b) that are links: filters of the other orders first, then both texts, which do not stay on disk."""
     more = [f"more{k}" for k in range(MORE_ORDERS)]
     side = lambda x: prefixes.select(F.col("doc_id").alias(x), *(F.col(m).alias(f"{m}_{x}") for m in more))
     candidates = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -190,7 +190,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, prefixes: DataFrame, size: int, l
                 both_n = np.bincount(of[hit], minlength=chunk.num_rows)
                 yield chunk.select(["a", "b"]).filter(pa.array(100 * both_n >= least * (n + m - both_n)))
 
-    return both.mapInArrow(run, schema)
+    found = written(both.mapInArrow(run, schema))
+    dropped(candidates, texts)
+    return found
 
 
 def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -231,9 +233,10 @@ def similar_groups(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) ->
         else:
             other = mixed.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), *(F.col(c).alias(f"{c}_b") for c in _sketch()), F.col("root").alias("root_b"))
             pairs = mixed.select("key", F.col("doc_id").alias("a"), "n", "place", *_sketch(), "root").join(other, "key").filter("a < b AND root <> root_b").filter(fits(F.col, lambda x: F.col(f"{x}_b"))).select("a", "b")
-        found = written(_linked(pairs.distinct(), docs, prefixes, size, least))
+        found = _linked(pairs.distinct(), docs, prefixes, size, least)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+    dropped(buckets, prefixes)
     by_class = sets.join(classes, ["n", "s1", "s2"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return by_class.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
 

@@ -301,6 +301,26 @@ def test_tables_of_keys_do_not_stay_on_disk(spark, monkeypatch):
     assert left and not [c for c in left if {"shingles", "key", "keys", "bits", "norm"} & set(c)]
 
 
+def test_texts_of_candidates_do_not_stay_on_disk(spark, monkeypatch):
+    made, written = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df: made.append(written(df)) or made[-1])
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words[: 50 + k], f"x{k}"])) for k in range(4)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.similar_groups(docs, 3, 80).collect()} == {0}
+    left = [t.columns for t in made if Path(t._written_to.removeprefix("file:")).exists()]
+    assert left and not [c for c in left if {"text", "prefix", "key"} & set(c)]
+
+
+def test_rows_of_a_stage_go_when_the_next_ones_are_written(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    made, written = [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df: made.append(written(df)) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda spark, docs, sf_dir: docs.filter("doc_id % 2 = 0")) for k in range(4)])
+    n = corpus_pipeline.run(spark, sf_dir).count()
+    assert n > 0 and [Path(t._written_to.removeprefix("file:")).exists() for t in made] == [False, False, True]
+
+
 def test_large_keys_meet_in_rounds(spark, monkeypatch):
     """A line of a key of many parts is in many cells: rounds hold a few rows for each line, and their links are those of one round."""
     monkeypatch.setattr(fuzzy_lines, "PART", 4)
